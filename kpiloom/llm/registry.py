@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from kpiloom.llm import secrets
+from kpiloom.llm import licenses, mixing, secrets
 
 QUERIES = {
+    "op5_source_mix": mixing.query,
+    "op9_license_scan": licenses.query,
     "op10_secret_scan": secrets.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_source_mix": mixing.ORACLE,
+}
