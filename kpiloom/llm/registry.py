@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kpiloom.llm import fingerprints, langid, licenses, mixing, secrets
+from kpiloom.llm import fingerprints, langid, licenses, linededup, mixing, secrets
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_language_id": langid.query,
     "op5_source_mix": mixing.query,
+    "op6_line_dedup": linededup.query,
     "op9_license_scan": licenses.query,
     "op10_secret_scan": secrets.query,
 }
