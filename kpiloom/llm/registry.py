@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kpiloom.llm import fingerprints, langid, licenses, linededup, mixing, secrets
+from kpiloom.llm import fingerprints, langid, licenses, linededup, mixing, packing, secrets
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_language_id": langid.query,
     "op5_source_mix": mixing.query,
     "op6_line_dedup": linededup.query,
+    "op8_best_fit_packing": packing.query,
     "op9_license_scan": licenses.query,
     "op10_secret_scan": secrets.query,
 }
