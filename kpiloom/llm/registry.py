@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kpiloom.llm import ann, fingerprints, langid, licenses, linededup, mixing, packing, secrets
+from kpiloom.llm import ann, fingerprints, langid, licenses, linededup, minhash, mixing, packing, secrets
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_nearest": ann.query,
     "op5_source_mix": mixing.query,
     "op6_line_dedup": linededup.query,
+    "op7_near_duplicates": minhash.query,
     "op8_best_fit_packing": packing.query,
     "op9_license_scan": licenses.query,
     "op10_secret_scan": secrets.query,
