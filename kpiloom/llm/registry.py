@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kpiloom.llm import ann, fingerprints, langid, licenses, linededup, minhash, mixing, packing, secrets
+from kpiloom.llm import ann, fingerprints, langid, licenses, linededup, lm, minhash, mixing, packing, secrets
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_language_id": langid.query,
+    "op3_lm_score": lm.query,
     "op4_nearest": ann.query,
     "op5_source_mix": mixing.query,
     "op6_line_dedup": linededup.query,
