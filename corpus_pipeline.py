@@ -1,16 +1,61 @@
-"""Stages of the corpus pipeline over ``documents``."""
+"""The corpus pipeline: ``documents`` to packed bins in five stages, each calling one operator over all it is given.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+one's ``docs``; all but the last return the columns that ``docs`` had, with the stage's decisions carried out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kpiloom.llm import langid, linededup, minhash, mixing, packing
+from kpiloom.llm.common import table, written
+
+#: Least share of a text's trigrams that the filter of its language must hold; less isn't prose of any language learned.
+LEAST_LANGUAGE = 0.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: texts without letters, and such as are in no learned language, go; ``lang`` becomes the prediction."""
+    found = langid.identify(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), langid.fit(docs))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).withColumn("lang", F.col("lang_pred"))
+    return kept.drop("lang_pred", "score").withColumnsRenamed({f"__{c}": c for c in ("lang_pred", "score") if c in docs.columns}).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: repeated chunks leave the texts; n_chars follows."""
+    return linededup.dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each component, the document whose id is smallest stays (with all rows of that id)."""
+    kept = minhash.similar_sets(docs).where("kept").select("doc_id")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: each document as often as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
+    sized = docs.withColumn("__n", F.size(mixing.words(F.col("text"))).cast("long"))
+    on = sized["doc_id"].eqNullSafe(F.col("__id")) & sized["source"].eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
+    return sized.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: bins of 2048 words."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("line_dedup", lines), ("near_dedup", near), ("source_mix", mix), ("best_fit_packing", pack)]
 
+#: Models, hashes and greedy packing aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
