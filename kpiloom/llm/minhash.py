@@ -8,8 +8,8 @@ m * m tables with probability 1 - (1 - (1 - s**r)**m)**2: at s = 0.75, r = 3, m
 Equal sets are one class from the start. Half-keys that only one class has are dropped before pairs are formed, as
 no table key built from them can be shared. Links are then found in rounds, every link being confirmed on the full
 sets of both texts: first each class with the smallest class it shares a table key with, then each with the smallest
-of every key, then, for keys whose classes are still apart, all classes of different components, until no round finds
-a link. Pairs already in one component are never compared, so a large group of near copies costs few comparisons.
+of every key whose classes are still apart; what then still shares keys across components is compared in full, in
+blocks of bounded size by size classes. Rows are emitted for links only, never for the pairs of a group.
 """
 
 from __future__ import annotations
@@ -168,6 +168,62 @@ def _table_keys(classes: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("x", "y").alias("key"), "cid")
 
 
+def _block_links(pair: pa.Table) -> pa.Table:
+    """Links (a, b) between texts of different labels in one pair of blocks, one for each two labels."""
+    cid, label = np.array(pair.column("cid").to_pylist()), np.array(pair.column("label").to_pylist())
+    side = np.array(pair.column("side").to_pylist())
+    sets = [shingles(t) for t in pair.column("text").to_pylist()]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    every = np.concatenate(sets)[order]
+    owner = owner[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    start = np.flatnonzero(new)
+    length = np.diff(np.concatenate((start, [len(every)])))
+    run = np.cumsum(new) - 1
+    by_text = np.argsort(owner, kind="stable")
+    first = np.cumsum(sizes) - sizes
+    links: dict = {}
+    for x in range(len(sets)):
+        if side[x] == 1:  # pairs inside the second block belong to that block's own pair
+            continue
+        runs = run[by_text[first[x] : first[x] + sizes[x]]]
+        runs = runs[length[runs] > 1]
+        n = length[runs]
+        at = np.repeat(start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        # both / (x + y - both) >= SIMILAR %
+        near = (100 * both >= SIMILAR * (sizes[x] + sizes - both)) & (label != label[x])
+        for y in np.flatnonzero(near):
+            links.setdefault((min(label[x], label[y]), max(label[x], label[y])), (cid[x], cid[y]))
+    a, b = zip(*links.values(), strict=True) if links else ((), ())
+    kind = pair.schema.field("cid").type
+    return pa.table([pa.array(list(a), kind), pa.array(list(b), kind)], names=["a", "b"])
+
+
+def _linked_in_blocks(members: DataFrame, texts: DataFrame, pair: StructType, block: int = 256, held: int = 2_000_000) -> DataFrame:
+    """Links between ``members`` (cid, n, label, g) of one group g and different labels.
+
+    Sets as similar as SIMILAR % differ in size by a factor of 100 / SIMILAR at most, so a group is cut by size classes
+    of that factor, these into blocks of about ``block`` texts and ``held`` shingles, and only blocks of equal or
+    neighbouring classes meet, each two in a task of their own. What leaves a task is its links, not its pairs.
+    """
+    cut = members.withColumn("s", F.floor(F.log("n") / F.log(F.lit(100 / SIMILAR))))
+    count = cut.groupBy("g", "s").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / held)).alias("blocks"))
+    placed = cut.join(count, ["g", "s"]).withColumn("k", F.pmod(F.xxhash64("cid"), F.col("blocks"))).select("cid", "label", "g", "s", "k")
+    blocks = written(placed.groupBy("g", "s", "k").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
+    x, y = (blocks.select("g", *[F.col(c).alias(f"{c}{i}") for c in ("s", "k", "c", "lo", "hi")]) for i in "12")
+    meet = x.join(y, "g").where("(s1 = s2 and k1 <= k2) or s2 = s1 + 1").where("least(lo1, lo2) <> greatest(hi1, hi2)")
+    meet = meet.withColumn("p", F.struct("g", "s1", "k1", "s2", "k2"))
+    same = F.col("p.s1").eqNullSafe(F.col("p.s2")) & (F.col("p.k1") == F.col("p.k2"))
+    sides = meet.select(F.explode(F.array_compact(F.array(
+        F.struct("p", F.col("s1").alias("s"), F.col("k1").alias("k"), F.lit(0).alias("side")), F.when(~same, F.struct("p", F.col("s2").alias("s"), F.col("k2").alias("k"), F.lit(1).alias("side"))),
+    ))).alias("e")).select("e.p", "e.p.g", "e.s", "e.k", "e.side")
+    dealt = placed.join(texts, "cid").join(sides, ["g", "s", "k"]).select("p", "side", "cid", "label", "text")
+    return written(dealt.groupBy("p").applyInArrow(_block_links, pair), "links")
+
+
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: near-duplicate components.
 
@@ -210,19 +266,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = components(found)
     heads = labelled(parts).select(F.col("cid").alias("rep"), F.col("label").alias("rep_label"))
     stars = apart(parts).join(heads, "rep").where("label <> rep_label").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = written(stars, "pairs")
-    more = links(tried)
-    while True:
-        found = found.unionByName(more)
-        parts = components(found)
-        rest = apart(parts)
-        x, y = (rest.select("key", F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
-        pairs = x.join(y, "key").where(f"a > b and la <> lb and 100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b").distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = links(pairs)
-        if more.isEmpty():
-            break
-        tried = tried.unionByName(pairs)
+    found = found.unionByName(links(stars))
+    parts = components(found)
+    rest = apart(parts)
+    groups = components(rest.where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
+    members = written(rest.select("cid", "n", "label").distinct().join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid"), "members")
+    parts = components(found.unionByName(_linked_in_blocks(members, texts, pair)))
     label = labelled(parts).join(classes.select("cid", "digest"), "cid").select("digest", "label")
     out = signed.drop("halves").join(label, "digest", "left").withColumn("component_id", F.coalesce("label", F.col(id_col)))
     return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
