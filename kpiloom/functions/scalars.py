@@ -41,6 +41,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def kept(c: Column) -> Column:
+    """``c`` as it is, where later filters on it must not be rewritten in terms of what it is made from.
+
+    Filters are else pushed below each step that made a column, its whole expression copied once for each use.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -146,7 +146,7 @@ def validate(kpis: DataFrame, packs: DataFrame) -> DataFrame:
     at = F.when(o == "beside", c + 1).when(F.col("shift"), F.lit(1)).otherwise(c)
     placed = ~o.isin("same_name", "no_row", "no_col", "no_rows")
     return df.select(
-        *kpis.columns, "outcome", F.coalesce(ok, F.lit(False)).alias("is_valid"), confidence.alias("confidence"), errors.alias("errors"), fixes.alias("fix_instructions"),
+        *kpis.columns, S.kept(F.col("outcome")).alias("outcome"), S.kept(F.coalesce(ok, F.lit(False))).alias("is_valid"), confidence.alias("confidence"), S.kept(errors).alias("errors"), S.kept(fixes).alias("fix_instructions"),
         F.when(go, F.when(o == "beside", F.col("beside_found")).otherwise(F.col("source"))).alias("source_cell_value"),
         F.when(go, F.when(moved, F.col("beside")).otherwise(F.col("cell"))).alias("source_cell_text"), F.col("value").alias("extracted_value"),
         F.when(placed, r).alias("checked_row_idx"), F.when(placed, at).alias("checked_col_idx"),

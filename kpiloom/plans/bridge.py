@@ -23,9 +23,9 @@ def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     o = table(spark, sf_dir, "orders").select("o_custkey", (F.year("o_orderdate") + 10).alias("year"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     by = o.groupBy("o_custkey", "year").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
-    joined = by.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = by.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_regionkey", "r_name", "n_name", "year").agg(F.sum("n").alias("oc"), F.expr("sum(cents) div 100").alias("sr"))
 
 

@@ -312,9 +312,9 @@ def per_file_limit(spark, d):
     return pack_source.first_per_file(table(spark, d, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line")), 3).select(F.col("line").alias("o_orderkey"))
 
 
-@_add("last_writer_wins", "SELECT o_custkey AS table_id, max(o_orderkey) AS line FROM orders GROUP BY o_custkey", base=False)
+@_add("last_writer_wins", "SELECT CAST(o_custkey AS VARCHAR) AS table_id, max(o_orderkey) AS line FROM orders GROUP BY o_custkey", base=False)
 def last_writer_wins(spark, d):
-    return validate.last_packs(table(spark, d, "orders").select(F.col("o_custkey").alias("table_id"), F.col("o_orderkey").alias("line")), ["line"])
+    return validate.last_packs(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderkey").alias("line")), ["line"])
 
 
 @_add("rule_extraction", "SELECT table_id, CASE WHEN layout = 'type_2' THEN 'Production' END AS name, key, value, year, row_idx, col_idx FROM facts WHERE layout = 'type_2'")
