@@ -280,3 +280,20 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: near-duplicate components of all documents."""
     return similar_sets(table(spark, sf_dir, "documents"))
+
+
+#: Links and components found in full; copies of one set stand for one, so only different sets are paired.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d),
+c AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS g FROM s GROUP BY doc_id),
+r AS (SELECT g, min(doc_id) AS cid, any_value(n) AS n FROM c GROUP BY g),
+t AS (SELECT s.* FROM s JOIN r ON s.doc_id = r.cid),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t a JOIN t b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN r a ON a.cid = x JOIN r b ON b.cid = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+reach AS (SELECT cid AS a, cid AS b FROM r UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x),
+m AS (SELECT a AS cid, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, coalesce(m.component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN r ON r.g = c.g LEFT JOIN m ON m.cid = r.cid
+"""

@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_source_mix": mixing.ORACLE,
+    "op7_near_duplicates": minhash.ORACLE,
 }
