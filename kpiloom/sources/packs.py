@@ -15,10 +15,10 @@ from kpiloom.schemas import ENVELOPE, PACK, VALID_FILE
 
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(file, line, text) of every line of the files at ``path``."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if not path.endswith((".jsonl", ".json")):
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    df = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return df.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
 
 
@@ -103,7 +103,7 @@ def results(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown_tables(spark: SparkSession, path: str) -> DataFrame:
     """Pipe tables of paginated Markdown as packs: page marks ``{N}----``, header line, rule, rows."""
-    df = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("doc_id"), "value")
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), "value")
     pages = df.select("doc_id", F.explode(F.split("value", r"(?m)(?=^\{\d+\}-{4,})")).alias("body")).withColumn("page", F.nullif(F.regexp_extract("body", r"^\{(\d+)\}-", 1), F.lit("")).try_cast("int"))
     found = pages.select("doc_id", "page", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?m)(?:^\|.*\|[ \t]*(?:\n|\z)){2,}"), F.lit(0))).alias("nr", "t"))
     split_row = lambda r: F.transform(F.split(F.regexp_replace(S.strip(r), r"^\||\|$", ""), r"\|", -1), S.strip)
