@@ -16,6 +16,55 @@ BESIDE = ((-1, 0), (1, 0), (0, -1), (0, 1))
 AROUND = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0))
 
 
+# What the validator says, ``{}`` standing for a value.
+SAYS = {
+    "same_name": "❌ key and name are identical: '{}' (they must be different when both are non-empty)",
+    "no_row": "Missing row_idx in KPI",
+    "no_col": "Missing col_idx in KPI",
+    "no_rows": "No rows in table data",
+    "row_bounds": "row_idx {} out of bounds (table has {} rows)",
+    "col_bounds": "col_idx {} out of bounds (row has {} cols)",
+    "row_equal": "✓ row_name verified: '{}'",
+    "row_case": "⚠ row_name case mismatch: KPI='{}', expected='{}'",
+    "row_differs": "❌ row_name MISMATCH: KPI='{}', stub_col[{}]='{}'",
+    "row_missing": "⚠ row_name missing, using stub_col[{}]='{}'",
+    "col_equal": "✓ col_name verified: '{}'",
+    "col_case": "⚠ col_name case mismatch: KPI='{}', expected='{}'",
+    "col_differs": "⚠ col_name MISMATCH: KPI='{}', merged_headers[{}]='{}'",
+    "col_missing": "⚠ col_name missing, using merged_headers[{}]='{}'",
+    "shift": "⚠ Auto-corrected: col_idx=0 (row label) → col_idx=1, found value={}",
+    "both_null": "Both null (cell: '{}')",
+    "value_null": "Extracted null but source={} (cell: '{}')",
+    "source_null": "Source null but extracted={} (cell: '{}')",
+    "not_number": "Type conversion error: extracted={}, source={}",
+    "small": "Small diff: {}",
+    "moderate": "Moderate diff: extracted={}, source={}, diff={}",
+    "beside": "⚠ Auto-corrected: col_idx={} → col_idx={}, value match improved ({} → {})",
+    "beside_small": "Small diff after correction: {}",
+    "large": "Large diff: extracted={}, source={}, diff={}",
+    "fix_name": "FIX: key='{}' and name='{}' are identical. Look at table context:",
+    "fix_title": "  - Table title: '{}'",
+    "fix_section": "  - Section: '{}'",
+    "fix_current": "  - Current row: '{}'",
+    "fix_row": "FIX: row_idx={} points to wrong row",
+    "fix_row_to": "  → Update: row_idx: {} → {}, row_name: '{}' → '{}'",
+    "fix_col": "WARNING: col_idx={} may point to wrong column",
+    "fix_col_to": "  → Consider updating: col_idx: {} → {}, col_name: '{}' → '{}'",
+    "fix_moderate": "FIX: Value mismatch (5% error)",
+    "fix_large": "FIX: Large value mismatch (>5% error)",
+    "fix_extracted": "  - Extracted: {}",
+    "fix_source": "  - Source at [{}][{}]: {} (text: '{}')",
+    "fix_place": "  → Update indices: row_idx: {} → {}, col_idx: {} → {}",
+}
+
+
+def say(what: str, *values: Column) -> Column:
+    """A sentence of SAYS with its values, nulls spelled ``None``."""
+    parts = [F.lit(p) for p in SAYS[what].split("{}")]
+    said = [F.coalesce(v.cast("string"), F.lit("None")) for v in values]
+    return F.concat(*[x for pair in zip(parts, said, strict=False) for x in pair], parts[-1])
+
+
 def last_packs(packs: DataFrame, order: list[str | Column]) -> DataFrame:
     """Packs by table id, the last by ``order`` where ids repeat; packs without id are left out."""
     last = Window.partitionBy("table_id").orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
@@ -48,7 +97,6 @@ def validate(kpis: DataFrame, packs: DataFrame) -> DataFrame:
     src = packs.select("table_id", F.col("rows").alias("p_rows"), F.coalesce("stub_col", F.array().cast("array<string>")).alias("p_stub"), F.coalesce("merged_headers", F.array().cast("array<string>")).alias("p_head"), F.col("title").alias("p_title"), F.col("section_name").alias("p_section"))
     df = kpis.join(src, "table_id")
     none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    text = lambda *parts: F.concat(*[F.coalesce(p.cast("string"), F.lit("None")) if isinstance(p, Column) else F.lit(p) for p in parts])
     r, c = F.col("row_idx"), F.col("col_idx")
     n_rows, n_cols = F.coalesce(F.size("p_rows"), F.lit(0)), F.coalesce(F.size(F.get("p_rows", r)), F.lit(0))
     stop = (
@@ -101,46 +149,34 @@ def validate(kpis: DataFrame, packs: DataFrame) -> DataFrame:
     )
     go = ~early
     show = lambda x, d: F.format_string(f"%.{d}f", x)
+    col_ = F.col
+    gap_, gap2_ = col_("gap"), col_("gap2")
     errors = F.array_compact(F.array(
-        F.when(o == "same_name", text("❌ key and name are identical: '", F.col("key"), "' (they must be different when both are non-empty)")),
-        F.when(o == "no_row", "Missing row_idx in KPI"), F.when(o == "no_col", "Missing col_idx in KPI"), F.when(o == "no_rows", "No rows in table data"),
-        F.when(o == "row_bounds", text("row_idx ", r, " out of bounds (table has ", n_rows, " rows)")),
-        F.when(o == "col_bounds", text("col_idx ", c, " out of bounds (row has ", n_cols, " cols)")),
-        F.when(go & (row == "equal"), text("✓ row_name verified: '", F.col("row_name"), "'")),
-        F.when(go & (row == "case"), text("⚠ row_name case mismatch: KPI='", F.col("row_name"), "', expected='", F.col("stub"), "'")),
-        F.when(go & (row == "differs"), text("❌ row_name MISMATCH: KPI='", F.col("row_name"), "', stub_col[", r, "]='", F.col("stub"), "'")),
-        F.when(go & (row == "missing"), text("⚠ row_name missing, using stub_col[", r, "]='", F.col("stub"), "'")),
-        F.when(go & (col == "equal"), text("✓ col_name verified: '", F.col("col_name"), "'")),
-        F.when(go & (col == "case"), text("⚠ col_name case mismatch: KPI='", F.col("col_name"), "', expected='", F.col("head"), "'")),
-        F.when(go & (col == "differs"), text("⚠ col_name MISMATCH: KPI='", F.col("col_name"), "', merged_headers[", c, "]='", F.col("head"), "'")),
-        F.when(go & (col == "missing"), text("⚠ col_name missing, using merged_headers[", c, "]='", F.col("head"), "'")),
-        F.when(go & F.col("shift"), text("⚠ Auto-corrected: col_idx=0 (row label) → col_idx=1, found value=", F.col("beside_found"))),
-        F.when(o == "both_null", text("Both null (cell: '", F.col("cell"), "')")),
-        F.when(o == "value_null", text("Extracted null but source=", F.col("source"), " (cell: '", F.col("cell"), "')")),
-        F.when(o == "source_null", text("Source null but extracted=", F.col("value"), " (cell: '", F.col("cell"), "')")),
-        F.when(o == "not_number", text("Type conversion error: extracted=", F.col("value"), ", source=", F.col("source"))),
-        F.when(o == "small", text("Small diff: ", show(F.col("gap"), 6))),
-        F.when(o == "moderate", text("Moderate diff: extracted=", F.col("number"), ", source=", F.col("source"), ", diff=", show(F.col("gap"), 2))),
-        F.when(o == "beside", text("⚠ Auto-corrected: col_idx=", c, " → col_idx=", c + 1, ", value match improved (", F.col("source"), " → ", F.col("beside_found"), ")")),
-        F.when((o == "beside") & (F.col("gap2") > 1e-6), text("Small diff after correction: ", show(F.col("gap2"), 6))),
-        F.when(o == "large", text("Large diff: extracted=", F.col("number"), ", source=", F.col("source"), ", diff=", show(F.col("gap"), 2))),
+        F.when(o == "same_name", say("same_name", col_("key"))), F.when(o == "no_row", say("no_row")), F.when(o == "no_col", say("no_col")), F.when(o == "no_rows", say("no_rows")),
+        F.when(o == "row_bounds", say("row_bounds", r, n_rows)), F.when(o == "col_bounds", say("col_bounds", c, n_cols)),
+        F.when(go & (row == "equal"), say("row_equal", col_("row_name"))), F.when(go & (row == "case"), say("row_case", col_("row_name"), col_("stub"))),
+        F.when(go & (row == "differs"), say("row_differs", col_("row_name"), r, col_("stub"))), F.when(go & (row == "missing"), say("row_missing", r, col_("stub"))),
+        F.when(go & (col == "equal"), say("col_equal", col_("col_name"))), F.when(go & (col == "case"), say("col_case", col_("col_name"), col_("head"))),
+        F.when(go & (col == "differs"), say("col_differs", col_("col_name"), c, col_("head"))), F.when(go & (col == "missing"), say("col_missing", c, col_("head"))),
+        F.when(go & col_("shift"), say("shift", col_("beside_found"))), F.when(o == "both_null", say("both_null", col_("cell"))),
+        F.when(o == "value_null", say("value_null", col_("source"), col_("cell"))), F.when(o == "source_null", say("source_null", col_("value"), col_("cell"))),
+        F.when(o == "not_number", say("not_number", col_("value"), col_("source"))), F.when(o == "small", say("small", show(gap_, 6))),
+        F.when(o == "moderate", say("moderate", col_("number"), col_("source"), show(gap_, 2))), F.when(o == "beside", say("beside", c, c + 1, col_("source"), col_("beside_found"))),
+        F.when((o == "beside") & (gap2_ > 1e-6), say("beside_small", show(gap2_, 6))), F.when(o == "large", say("large", col_("number"), col_("source"), show(gap_, 2))),
     ))
     hits = F.when(o == "moderate", F.filter(near_cells(F.col("p_rows"), r, c, BESIDE), lambda x: S.parse_number(x["text"]) == F.col("number"))).when(
         o == "large", F.filter(near_cells(F.col("p_rows"), r, c, AROUND), lambda x: F.abs(S.parse_number(x["text"]) - F.col("number")) <= 1e-6)
     )
     df = df.withColumn("label_at", F.when(go & (row == "differs"), find_label(F.col("p_stub"), F.col("row_name")))).withColumn("headers_at", F.when(go & (col == "differs"), find_headers(F.col("p_head"), F.col("col_name")))).withColumn("hits", hits)
+    nothing = F.array().cast("array<string>")
     fixes = F.concat(
-        F.when(o == "same_name", F.array(
-            text("FIX: key='", F.col("key"), "' and name='", F.col("name"), "' are identical. Look at table context:"), text("  - Table title: '", F.coalesce("p_title", F.lit("")), "'"), text("  - Section: '", F.coalesce("p_section", F.lit("")), "'"), text("  - Current row: '", F.coalesce("row_name", F.lit("")), "'"),
-        )).otherwise(F.array().cast("array<string>")),
-        F.when(go & (row == "differs"), F.array_compact(F.array(
-            text("FIX: row_idx=", r, " points to wrong row"), F.when(F.col("label_at").isNotNull(), text("  → Update: row_idx: ", r, " → ", F.col("label_at"), ", row_name: '", F.col("stub"), "' → '", F.get("p_stub", F.col("label_at")), "'")),
-        ))).otherwise(F.array().cast("array<string>")),
-        F.when(go & (col == "differs"), F.concat(F.array(text("WARNING: col_idx=", c, " may point to wrong column")), F.transform("headers_at", lambda i: text("  → Consider updating: col_idx: ", c, " → ", i, ", col_name: '", F.col("head"), "' → '", F.get("p_head", i), "'")))).otherwise(F.array().cast("array<string>")),
+        F.when(o == "same_name", F.array(say("fix_name", col_("key"), col_("name")), say("fix_title", F.coalesce("p_title", F.lit(""))), say("fix_section", F.coalesce("p_section", F.lit(""))), say("fix_current", F.coalesce("row_name", F.lit(""))))).otherwise(nothing),
+        F.when(go & (row == "differs"), F.array_compact(F.array(say("fix_row", r), F.when(col_("label_at").isNotNull(), say("fix_row_to", r, col_("label_at"), col_("stub"), F.get("p_stub", col_("label_at"))))))).otherwise(nothing),
+        F.when(go & (col == "differs"), F.concat(F.array(say("fix_col", c)), F.transform("headers_at", lambda i: say("fix_col_to", c, i, col_("head"), F.get("p_head", i))))).otherwise(nothing),
         F.when(o.isin("moderate", "large"), F.concat(
-            F.array(F.when(o == "moderate", "FIX: Value mismatch (5% error)").otherwise("FIX: Large value mismatch (>5% error)"), text("  - Extracted: ", F.col("number")), text("  - Source at [", r, "][", c, "]: ", F.col("source"), " (text: '", F.col("cell"), "')")),
-            F.transform("hits", lambda x: text("  → Update indices: row_idx: ", r, " → ", x["r"], ", col_idx: ", c, " → ", x["c"])),
-        )).otherwise(F.array().cast("array<string>")),
+            F.array(F.when(o == "moderate", say("fix_moderate")).otherwise(say("fix_large")), say("fix_extracted", col_("number")), say("fix_source", r, c, col_("source"), col_("cell"))),
+            F.transform("hits", lambda x: say("fix_place", r, x["r"], c, x["c"])),
+        )).otherwise(nothing),
     )
     moved = go & ((o == "beside") | F.col("shift"))
     at = F.when(o == "beside", c + 1).when(F.col("shift"), F.lit(1)).otherwise(c)
