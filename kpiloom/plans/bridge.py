@@ -117,7 +117,7 @@ o AS (SELECT *, CASE WHEN stop IS NOT NULL THEN stop WHEN value IS NULL AND sour
 checked AS (SELECT *, CASE WHEN outcome = 'beside' THEN true WHEN outcome IN ('both_null', 'exact', 'small') THEN row_check <> 'differs' ELSE false END AS is_valid,
   CASE WHEN outcome = 'same_name' THEN 0.5 WHEN stop IS NOT NULL THEN 0.0 WHEN outcome IN ('value_null', 'source_null') THEN 0.2 WHEN outcome = 'moderate' THEN 0.7 WHEN outcome = 'large' THEN 0.3 WHEN outcome = 'both_null' THEN conf * 0.95
   WHEN outcome = 'small' THEN conf * 0.98 WHEN outcome = 'beside' THEN conf * CASE WHEN gap2 <= 1e-6 THEN 0.95::DOUBLE ELSE 0.95::DOUBLE * 0.98::DOUBLE END ELSE conf END AS confidence FROM o),
-lk AS (SELECT kpi_name AS name, key, year, CAST(value AS VARCHAR) AS value, units, id AS ord FROM nodes),
+lk AS (SELECT kpi_name AS name, key, year, CAST(CAST(value AS BIGINT) AS VARCHAR) || '.0' AS value, units, id AS ord FROM nodes),
 linked AS (SELECT *, lead(kpi_id) OVER (PARTITION BY name, key ORDER BY year, ord) AS next_kpi_id, lag(kpi_id) OVER (PARTITION BY name, key ORDER BY year, ord) AS prev_kpi_id
   FROM (SELECT *, sha256(name || '|' || key || '|' || year || '|' || value) AS kpi_id FROM lk)),
 ch AS (SELECT name, key, count(*) AS length, min(year) AS first_year, max(year) AS last_year FROM linked WHERE next_kpi_id IS NOT NULL OR prev_kpi_id IS NOT NULL GROUP BY name, key)

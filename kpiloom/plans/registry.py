@@ -33,7 +33,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
-    n = _nodes(spark, d).select(F.col("kpi_name").alias("name"), "key", "year", F.col("value").cast("string").alias("value"), "units", F.col("id").alias("ord"))
+    n = _nodes(spark, d).select(F.col("kpi_name").alias("name"), "key", "year", F.concat(F.col("value").cast("long").cast("string"), F.lit(".0")).alias("value"), "units", F.col("id").alias("ord"))
     return chains.link(n)
 
 
