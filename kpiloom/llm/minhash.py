@@ -265,7 +265,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = links(tables.where("cid <> rep").groupBy("cid").agg(F.min("rep").alias("b")).withColumnRenamed("cid", "a"))
     parts = components(found)
     heads = labelled(parts).select(F.col("cid").alias("rep"), F.col("label").alias("rep_label"))
-    stars = apart(parts).join(heads, "rep").where("label <> rep_label").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = apart(parts).select("rep", "cid", "label").distinct().join(heads, "rep").where("label <> rep_label").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct()
     found = found.unionByName(links(stars))
     parts = components(found)
     rest = apart(parts)
