@@ -1,9 +1,10 @@
 """Licence scan: a positional index of rare licence words, and the base phrases.
 
-The index holds every word of the licence templates with its postings (template, position). For a file, the
-``anchors`` words of highest IDF among its licence words are looked up; each occurrence votes for a template laid at
-a place (the word's place less the posting's). A template laid where enough of its rare words agree is a candidate,
-and is accepted if all its mandatory key phrases stand in the file inside that place, give or take ``slack`` words.
+The index holds every word of the licence templates with its postings (template, position). Every licence word of a
+file is looked up; each occurrence votes, with the word's IDF, for a template laid at a place (the word's place less
+the posting's). A template is accepted at a place if all its mandatory key phrases stand there, give or take ``slack``
+words, and enough of its weight agrees: that of the template's words found inside the place, so neither other licences
+nor other words of a file play a part.
 """
 
 from __future__ import annotations
@@ -65,25 +66,24 @@ class Index:
                 self.postings[w].append((t, q))
         self.idf = {w: math.log(len(templates) / len({t for t, _ in at})) for w, at in self.postings.items()}
 
-    def find(self, ws: list[bytes], anchors: int, least: float, slack: int) -> dict[str, float]:
-        """label: the largest share of a template's rare-word weight that agrees on one place."""
-        at = defaultdict(list)
-        for p, w in enumerate(ws):
-            if w in self.postings:
-                at[w].append(p)
-        chosen = sorted(at, key=lambda w: (-self.idf[w], w))[:anchors]
+    def find(self, ws: list[bytes], least: float, slack: int) -> dict[str, float]:
+        """label: the largest share of a template's weight inside a place that agrees on the place."""
+        held = set(ws)
+        # a template one of whose key phrases lacks a word can't be accepted anywhere
+        live = {t for t, keys in enumerate(self.keys) if all(w in held for key in keys for w in key)}
         votes: Counter = Counter()
-        for w in chosen:
-            for p in at[w]:
-                for t, q in self.postings[w]:
+        for p, w in enumerate(ws if live else ()):
+            for t, q in self.postings.get(w, ()):
+                if t in live:
                     votes[t, p - q] += self.idf[w]
-        full = [sum(self.idf[w] for w in self.words[t] if w in set(chosen)) for t in range(len(self.words))]
         out: dict[str, float] = {}
         for (t, place), vote in votes.items():
-            share = vote / full[t] if full[t] else 0.0
+            span = ws[max(0, place - slack) : max(0, place + len(self.words[t]) + slack)]
+            near = set(span)
+            full = sum(self.idf[w] for w in self.words[t] if w in near)
+            share = vote / full if full else 0.0
             if share < least or out.get(self.labels[t], 0) >= share:
                 continue
-            span = ws[max(0, place - slack) : max(0, place + len(self.words[t]) + slack)]
             if all(any(span[i : i + len(key)] == key for i in range(len(span) - len(key) + 1)) for key in self.keys[t]):
                 out[self.labels[t]] = min(1.0, share)
         return out
@@ -94,7 +94,7 @@ _PHRASES = [(re.compile(rb"(?<![0-9a-z\x80-\xff])" + rb"[^0-9a-z\x80-\xff]+".joi
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(docs: DataFrame, anchors: int = 24, least: float = 0.6, slack: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, least: float = 0.6, slack: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licences of every whole text.
 
     Returns ``id_col`` with n_words, n_base (places of base phrases), first_word and last_word (their smallest and
@@ -106,7 +106,9 @@ def scan(docs: DataFrame, anchors: int = 24, least: float = 0.6, slack: int = 4,
 
     def run(batches):
         index = Index()
-        rare = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:licen[cs]ed?|sublicense|redistribution|cc|creative|gnu|unencumbered|endorse|mozilla|eclipse|hereby)(?![0-9a-z\x80-\xff])")
+        # one word of each template's key phrases: a text without any of them holds no template
+        hints = {max((w for key in keys for w in key), key=lambda w: (index.idf[w], len(w), w)) for keys in index.keys}
+        rare = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(sorted(hints)) + rb")(?![0-9a-z\x80-\xff])")
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
@@ -118,7 +120,7 @@ def scan(docs: DataFrame, anchors: int = 24, least: float = 0.6, slack: int = 4,
                 for pattern, hint, label in _PHRASES:
                     if hint in low:
                         base += [(int(starts[: m.start()].sum()), label) for m in pattern.finditer(low)]
-                found = index.find(_WORD.findall(low), anchors, least, slack) if rare.search(low) else {}
+                found = index.find(_WORD.findall(low), least, slack) if rare.search(low) else {}
                 mine = sorted({label for _, label in base})
                 rows.append((
                     int(starts.sum()), len(base), min(base)[0] if base else None, max(base)[0] if base else None,
