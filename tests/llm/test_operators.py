@@ -142,6 +142,26 @@ def test_passage_leaves_all_but_its_first_document(spark):
     assert all("".join(c.text for c in r.c) == r.text for r in d.collect())
 
 
+def test_passages_go_whole_whatever_stands_around_them(spark):
+    rng = np.random.default_rng(4)
+    said = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(n))
+    passages = [
+        said(55)[:290], "\n".join(said(6) for _ in range(10)), ". ".join(said(5) for _ in range(11)) + ".", "\n".join([*(said(3) for _ in range(8)), said(60), *(said(2) for _ in range(7))]),
+        said(30) + "\n\n\n" + said(8) + ".\n" + said(20),
+    ]
+    rows, want = [], {}
+    for i in range(60):
+        passage = passages[i % 5]
+        front, back = [said(int(rng.integers(1, 12))) for _ in range(int(rng.integers(1, 5)))], [said(int(rng.integers(1, 12))) for _ in range(int(rng.integers(1, 5)))]
+        glue = ". " if i % 3 == 0 else "\n"
+        start, end = glue.join(front) + glue, glue.join(back)
+        rows.append((i, start + passage + "\n" + end, None, None))
+        want[i] = rows[-1][1] if i < 5 else start + end
+    got = {r.doc_id: r for r in linededup.dedup(docs(spark, rows)).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(len(got[i].text) + got[i].chars_removed == len(t) for i, t, *_ in rows)
+
+
 def family(n, edits, seed):
     rng = np.random.default_rng(seed)
     base = [f"b{i}" for i in range(150)]
