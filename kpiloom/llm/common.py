@@ -51,6 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Removes a table of ``written`` that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, with ``value`` computed once for each row and not once for each use in lambdas."""
     return F.transform(F.array(value), body)[0]

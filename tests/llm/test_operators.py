@@ -162,6 +162,15 @@ def test_passages_go_whole_whatever_stands_around_them(spark):
     assert all(len(got[i].text) + got[i].chars_removed == len(t) for i, t, *_ in rows)
 
 
+def test_runs_of_equal_hash_go_only_if_their_bytes_agree(spark, monkeypatch):
+    rows = [(i, f"{c * 70}.\n{c * 80}.\n", None, None) for i, c in enumerate("abcab")]
+    own = F.xxhash64
+    # one hash for all runs, as if all of them collided
+    monkeypatch.setattr(linededup.F, "xxhash64", lambda *cols: own(*cols) if len(cols) > 1 else F.lit(7).cast("long"))
+    got = {r.doc_id: r.text for r in linededup.dedup(docs(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: rows[1][1], 2: rows[2][1], 3: "", 4: ""}
+
+
 def family(n, edits, seed):
     rng = np.random.default_rng(seed)
     base = [f"b{i}" for i in range(150)]
