@@ -62,11 +62,11 @@ def packs(spark: SparkSession, sf_dir: str, layout: str | None = None) -> DataFr
     )
 
 
-def raw_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KPIs as extracted from the type_2 packs, with faults by (3 * row + column + year) % 10."""
+def raw_kpis(spark: SparkSession, sf_dir: str, layout: str | None = "type_2") -> DataFrame:
+    """KPIs as extracted from the packs of one layout or all, with faults by (3 * row + column + year) % 10."""
     from kpiloom.operators.melt import facts
 
-    f = facts(packs(spark, sf_dir, "type_2")).select("kpi_name", "key", "units", "value", "year", "evidence.*")
+    f = facts(packs(spark, sf_dir, layout)).select("kpi_name", "key", "units", "value", "year", "evidence.*")
     fault = (3 * F.col("row_idx") + F.col("col_idx") + F.col("year")) % 10
     value = F.when(fault == 0, None).when(fault == 1, F.col("value") * 1.03).when(fault == 2, F.col("value") * 1.4).otherwise(F.col("value"))
     return f.select(

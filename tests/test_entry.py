@@ -47,3 +47,19 @@ def test_queries_match_sql(spark, name):
     plain = lambda x: round(x, 6) if isinstance(x, float) else x
     want = sorted(str([plain(r[names.index(c)]) for c in cols]) for r in cur.fetchall())
     assert sorted(str([plain(r[c]) for c in cols]) for r in df.collect()) == want
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_validation_and_extraction_run_over_all_layouts(spark):
+    from kpiloom.plans import registry
+    from kpiloom.plans.bridge import packs
+
+    every = {r.table_id for r in packs(spark, DATA).select("table_id").collect()}
+    assert len({t[-1] for t in every}) == 5
+    assert {f"{name}_all" for name in registry.ONE_LAYOUT} <= set(registry.QUERIES)
+    for name in ("validate_kpis", "rule_extraction"):
+        one, rows = registry.QUERIES[name](spark, DATA).collect(), registry.QUERIES[f"{name}_all"](spark, DATA).collect()
+        assert sorted(map(str, one)) == sorted(str(r) for r in rows if r.table_id.endswith("_T1"))
+        assert {r.table_id for r in rows} == every
+    total = registry.QUERIES["validation_overall_all"](spark, DATA).first().total_kpis
+    assert total == registry.QUERIES["run_totals"](spark, DATA).first().kpis
