@@ -5,11 +5,12 @@ m * m tables of 2r rows, two collections of m half-keys of r minhashes each are
 is keyed by the pair of half-key i of the first and half-key j of the second. Two sets of similarity s miss all
 m * m tables with probability 1 - (1 - (1 - s**r)**m)**2: at s = 0.75, r = 3, m = 20 below 4 in 100,000.
 
-Equal sets are one class from the start. Half-keys that only one class has are dropped before pairs are formed, as
-no table key built from them can be shared. Links are then found in rounds, every link being confirmed on the full
-sets of both texts: first each class with the smallest class it shares a table key with, then each with the smallest
-of every key whose classes are still apart; what then still shares keys across components is compared in full, in
-blocks of bounded size by size classes. Rows are emitted for links only, never for the pairs of a group.
+Equal sets are one class from the start. Links are found in rounds, every link being confirmed on the full sets of both
+texts: each class with the smallest class it shares a table key with, then each with the smallest of every key whose
+classes are still apart. The tables (i, i) go first, so that a large group of near copies is one component before
+the other tables are formed: for those, half-keys all of whose classes are of one component are dropped, as no table
+key built from them can join two. What still shares keys across components in the end is compared in full, in blocks of
+bounded size by size classes. Rows are emitted for links only, never for the pairs of a group.
 """
 
 from __future__ import annotations
@@ -117,8 +118,8 @@ def _sketched(batches):
             for i, row in zip(full, half_keys([sets[i] for i in full]) if full else (), strict=True):
                 keys[i] = row.view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(s, len(sets)), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=[batch.schema.names[0], "n_shingles", "digest", "halves"],
+                [batch.column(0).slice(s, len(sets)), batch.column(2).slice(s, len(sets)), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=[batch.schema.names[0], "text_hash", "n_shingles", "digest", "halves"],
             )
             s += len(sets)
 
@@ -138,6 +139,14 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _split(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """``a`` joined to ``b``, which has one row for each ``on``; a hot key of ``a`` can be split over tasks.
+
+    The hash beside the key keeps the join from resting on the partitioning of an aggregate, whose partitions can't be cut.
+    """
+    return a.withColumn("__on", F.xxhash64(on)).join(b.withColumn("__on", F.xxhash64(on)), ["__on", on]).drop("__on")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): the smallest node reachable.
 
@@ -148,9 +157,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _split(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = _split(large, low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -158,14 +167,20 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _diagonal_keys(classes: DataFrame) -> DataFrame:
+    """(key, cid) of the tables (i, i), as many as half-keys of a collection."""
+    pair = lambda i: F.xxhash64(F.get("halves", i), F.get("halves", i + HALVES))
+    return classes.select(F.explode(F.array(*[pair(F.lit(i)) for i in range(HALVES)])).alias("key"), "cid")
+
+
 def _table_keys(classes: DataFrame) -> DataFrame:
-    """(key, cid) of all table keys of which both half-keys are shared with other classes."""
-    halves = classes.select("cid", F.posexplode("halves").alias("i", "h")).select("cid", (F.col("i") < HALVES).alias("first"), "h")
-    often = halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    """(key, cid, label) of all table keys of which both half-keys are shared by classes of different labels."""
+    halves = classes.select("cid", "label", F.posexplode("halves").alias("i", "h")).select("cid", "label", (F.col("i") < HALVES).alias("first"), "h")
+    often = halves.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     side = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("h")))
-    kept = halves.join(often, "h").groupBy("cid").agg(side(True).alias("x"), side(False).alias("y"))
-    pairs = kept.select("cid", F.explode("x").alias("x"), "y").select("cid", "x", F.explode("y").alias("y"))
-    return pairs.select(F.xxhash64("x", "y").alias("key"), "cid")
+    kept = _split(halves, often, "h").groupBy("cid", "label").agg(side(True).alias("x"), side(False).alias("y"))
+    pairs = kept.select("cid", "label", F.explode("x").alias("x"), "y").select("cid", "label", "x", F.explode("y").alias("y"))
+    return pairs.select(F.xxhash64("x", "y").alias("key"), "cid", "label")
 
 
 def _block_links(pair: pa.Table) -> pa.Table:
@@ -224,62 +239,93 @@ def _linked_in_blocks(members: DataFrame, texts: DataFrame, pair: StructType, bl
     return written(dealt.groupBy("p").applyInArrow(_block_links, pair), "links")
 
 
+def _classes(signed: DataFrame, id_col: str) -> DataFrame:
+    """(cid, digest, id, text_hash, n, halves) of each distinct set; ``id`` and ``text_hash`` name one row that has it.
+
+    Classes are numbered in order of their smallest id (null last), so the smallest number reachable has the smallest
+    id reachable, and classes that share an id stay apart.
+    """
+    row = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("text_hash"))
+    alike = signed.where("digest is not null").groupBy("digest").agg(F.min(row).alias("r"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
+    alike = written(alike.select("digest", "r.id", "r.text_hash", "n", "halves"), "alike")
+    return written(alike.orderBy(F.asc_nulls_last("id"), "digest").withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row: near-duplicate components.
+    """(id, n_shingles, component_id, kept, text_hash) of every row: near-duplicate components.
 
     component_id is the smallest id among the documents reachable over links of similarity SIMILAR % or more, kept says
     that it is the row's own. Null, empty and blank texts have an empty set, link with nothing and are kept. Repeated
-    rows are of one class; rows of one id with different texts are told apart by text. Rows without id take the
-    component of their class, and have a null one, and are kept, if no row of it has an id. An empty table gives an
-    empty result; other columns play no part.
+    rows are of one class and all have its result; rows of one id with different texts are documents of their own, told
+    apart by text_hash, the xxhash64 of the text. Rows without id count in components, take the smallest id of theirs,
+    and have a null one, and are kept, if no row of it has an id. An empty table gives an empty result; other columns
+    play no part.
     """
-    schema = StructType([StructField(id_col, docs.schema[id_col].dataType)]).add("n_shingles", "long").add("digest", "binary").add("halves", ArrayType(LongType()))
-    signed = written(docs.select(id_col, text_col).mapInArrow(_sketched, schema), "signatures")
-    alike = signed.where("digest is not null").groupBy("digest").agg(F.min(id_col).alias("cid"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
-    classes = written(alike.where("cid is not null"), "classes")
-    keys = _table_keys(classes)
-    shared = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("key", "rep")
-    tables = written(keys.join(shared, "key"), "tables")
-    texts = docs.select(F.col(id_col).alias("cid"), F.col(text_col).alias("text")).join(tables.select("cid").distinct(), "cid", "left_semi")
-    texts = written(texts.groupBy("cid", F.xxhash64("text")).agg(F.first("text").alias("text")).select("cid", "text"), "texts")
+    schema = StructType([StructField(id_col, docs.schema[id_col].dataType)]).add("text_hash", "long").add("n_shingles", "long").add("digest", "binary").add("halves", ArrayType(LongType()))
+    rows = docs.select(id_col, F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("text_hash"))
+    signed = written(rows.mapInArrow(_sketched, schema), "signatures")
+    classes = _classes(signed, id_col)
     sizes = classes.select("cid", "n")
-    pair = StructType([StructField("a", classes.schema["cid"].dataType), StructField("b", classes.schema["cid"].dataType)])
+    pair = StructType().add("a", "long").add("b", "long")
+
+    def texts_of(tables: DataFrame) -> DataFrame:
+        """(cid, text) of the classes in ``tables``, one text for each."""
+        asked = classes.join(tables.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+        found = rows.join(asked, (F.col("text_hash") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
+        return written(found.groupBy("cid").agg(F.first("__text").alias("text")), "texts")
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) that are similar; sizes too different are told apart without texts."""
         of = lambda c: sizes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"))
         full = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"t{c}"))
         near = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b").distinct()
         return written(near.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed, pair), "links")
 
-    def labelled(parts: DataFrame) -> DataFrame:
-        """Classes (cid, n, label) with their component so far, their own id outside any."""
-        return sizes.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    def labelled(parts: DataFrame, of: DataFrame = sizes) -> DataFrame:
+        """Classes with their component so far as label, their own number outside any."""
+        return of.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
-    def apart(parts: DataFrame) -> DataFrame:
+    def apart(tables: DataFrame, parts: DataFrame) -> DataFrame:
         """(key, rep, cid, n, label) of keys that still hold classes of more than one component."""
-        now = tables.join(labelled(parts), "cid")
+        now = tables.select("key", "rep", "cid").join(labelled(parts), "cid")
         mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return written(now.join(mixed, "key"), "apart")
+        return written(_split(now, mixed, "key"), "apart")
 
-    found = links(tables.where("cid <> rep").groupBy("cid").agg(F.min("rep").alias("b")).withColumnRenamed("cid", "a"))
+    def stars(tables: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links of each class with the smallest of every key that holds more than one component."""
+        heads = labelled(parts).select(F.col("cid").alias("rep"), F.col("label").alias("rep_label"))
+        rest = apart(tables, parts).select("rep", "cid", "label").distinct()
+        return links(rest.join(heads, "rep").where("label <> rep_label").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct(), texts)
+
+    # the diagonal of the tables first: what it joins needn't meet in the others
+    keys = _diagonal_keys(classes)
+    shared = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("key", "rep")
+    tables = written(_split(keys, shared, "key"), "diagonal")
+    texts = texts_of(tables)
+    found = links(tables.where("cid <> rep").groupBy("cid").agg(F.min("rep").alias("b")).withColumnRenamed("cid", "a"), texts)
+    found = found.unionByName(stars(tables, components(found), texts))
     parts = components(found)
-    heads = labelled(parts).select(F.col("cid").alias("rep"), F.col("label").alias("rep_label"))
-    stars = apart(parts).select("rep", "cid", "label").distinct().join(heads, "rep").where("label <> rep_label").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct()
-    found = found.unionByName(links(stars))
+
+    keys = written(_table_keys(labelled(parts, classes.select("cid", "halves"))), "keys")
+    shared = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "rep")
+    tables = written(_split(keys, shared, "key"), "tables")
+    texts = texts_of(tables)
+    found = found.unionByName(stars(tables, parts, texts))
     parts = components(found)
-    rest = apart(parts)
+    rest = apart(tables, parts)
     groups = components(rest.where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
     members = written(rest.select("cid", "n", "label").distinct().join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid"), "members")
     parts = components(found.unionByName(_linked_in_blocks(members, texts, pair)))
-    label = labelled(parts).join(classes.select("cid", "digest"), "cid").select("digest", "label")
-    out = signed.drop("halves").join(label, "digest", "left").withColumn("component_id", F.coalesce("label", F.col(id_col)))
-    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+
+    least = classes.select(F.col("cid").alias("label"), F.col("id").alias("component_id"))
+    label = labelled(parts, classes.select("cid", "digest")).join(least, "label").select("digest", "component_id", F.lit(True).alias("of_class"))
+    out = signed.drop("halves").join(label, "digest", "left").withColumn("component_id", F.when(F.col("of_class"), F.col("component_id")).otherwise(F.col(id_col)))
+    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: near-duplicate components of all documents."""
-    return similar_sets(table(spark, sf_dir, "documents"))
+    return similar_sets(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 #: Links and components found in full; copies of one set stand for one, so only different sets are paired.

@@ -204,6 +204,14 @@ def test_components_against_all_pairs(spark):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), root(i), root(i) == i)
 
 
+def test_repeated_ids_stay_apart_by_text(spark):
+    own = " ".join(f"z{i}" for i in range(40))
+    texts = family(6, 3, 8)
+    rows = [(10, texts[0], None, None), (10, own, None, None), (3, texts[1], None, None), (10, own, None, None), (None, texts[2], None, None), (None, "quite alone here", None, None), (5, texts[3], None, None)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.similar_sets(docs(spark, rows)).collect())
+    assert got == [(False, 3, 146, 3, True), (False, 5, 146, 3, False), (False, 10, 36, 10, True), (False, 10, 36, 10, True), (False, 10, 146, 3, False), (True, 0, 1, None, True), (True, 0, 146, 3, False)]
+
+
 def test_packing_rules(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"t{i % 40}_{j}" for j in range(int(rng.integers(0, 300)) if i % 40 else 250)), None, "hot" if i % 3 else f"s{i % 9}") for i in range(300)] + [(900, " ".join(["q"] * 1100), None, "x")]

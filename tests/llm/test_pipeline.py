@@ -31,3 +31,13 @@ def test_stages_over_a_fixture(spark, tmp_path):
         kept.append(after.count())
     assert all(kept)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[-1]
+
+
+def test_equal_rows_are_mixed_once_each_and_deduplicated(spark, tmp_path):
+    rows = [(1, "a b c d e f g", "x")] * 4 + [(i, " ".join(f"w{i}_{j}" for j in range(30)), "y") for i in range(2, 12)] + [(None, "no id here", "x"), (None, "no id there", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(df).agg({"taken": "sum"}).first()[0]
+    out = corpus_pipeline.mix(spark, df, str(tmp_path)).collect()
+    assert sum(len(r.text.split()) for r in out) == taken
+    left = corpus_pipeline.near(spark, df, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted({(i or 0, t) for i, t, _ in rows})
