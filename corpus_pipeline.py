@@ -6,7 +6,7 @@ one's ``docs``; all but the last return the columns that ``docs`` had, with the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiloom.llm import langid, linededup, minhash, mixing, packing
@@ -29,17 +29,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each component, the document whose id is smallest stays (with all rows of that id)."""
-    kept = minhash.similar_sets(docs).where("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """MinHash near-dedup: of each component, one row of the document whose id is smallest stays."""
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull()})
+
+    kept = keyed(minhash.similar_sets(docs).where("kept").withColumnRenamed("text_hash", "__text")).select("__text", "__id", "__none")
+    rows = keyed(docs.withColumn("__text", F.xxhash64("text"))).join(kept, ["__text", "__id", "__none"], "left_semi")
+    return rows.dropDuplicates(["__text", "__id", "__none"]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    sized = docs.withColumn("__n", F.size(mixing.words(F.col("text"))).cast("long"))
-    on = sized["doc_id"].eqNullSafe(F.col("__id")) & sized["source"].eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    return sized.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Mixing: each document as often as the mix takes it.
+
+    Rows of equal id, source and size take the copies of theirs in order of their texts, so each row of the mix is
+    carried out once, however many rows are alike.
+    """
+    key = F.xxhash64("doc_id", "source", "size").alias("__key")
+    times = lambda n: F.count(F.when(F.col("copies") == n, 1)).alias(f"__{n}")
+    taken = mixing.mix(docs).where("copies > 0").groupBy(key).agg(times(1), times(2))
+    sized = docs.withColumn("__key", F.xxhash64("doc_id", "source", F.size(mixing.words(F.col("text"))).cast("long")))
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("text")))
+    copies = F.when(F.col("__place") <= F.col("__2"), 2).when(F.col("__place") <= F.col("__2") + F.col("__1"), 1)
+    rows = sized.withColumn("__place", place).join(taken, "__key").withColumn("__copies", copies).where("__copies is not null")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
