@@ -62,3 +62,11 @@ def removed(df: DataFrame) -> None:
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, with ``value`` computed once for each row and not once for each use in lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def split_join(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """``a`` joined to ``b``, which has one row for each ``on``; a hot key of ``a`` can be split over tasks.
+
+    The hash beside the key keeps the join from resting on the partitioning of an aggregate, whose partitions can't be cut.
+    """
+    return a.withColumn("__on", F.xxhash64(on)).join(b.withColumn("__on", F.xxhash64(on)), ["__on", on]).drop("__on")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from kpiloom.llm.common import table, written
+from kpiloom.llm.common import split_join, table, written
 
 SHINGLE, SIMILAR = 5, 75
 HALVES, ROWS = 20, 3
@@ -139,14 +139,6 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _split(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
-    """``a`` joined to ``b``, which has one row for each ``on``; a hot key of ``a`` can be split over tasks.
-
-    The hash beside the key keeps the join from resting on the partitioning of an aggregate, whose partitions can't be cut.
-    """
-    return a.withColumn("__on", F.xxhash64(on)).join(b.withColumn("__on", F.xxhash64(on)), ["__on", on]).drop("__on")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): the smallest node reachable.
 
@@ -157,9 +149,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _split(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = split_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _split(large, low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = split_join(large, low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -178,7 +170,7 @@ def _table_keys(classes: DataFrame) -> DataFrame:
     halves = classes.select("cid", "label", F.posexplode("halves").alias("i", "h")).select("cid", "label", (F.col("i") < HALVES).alias("first"), "h")
     often = halves.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
     side = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("h")))
-    kept = _split(halves, often, "h").groupBy("cid", "label").agg(side(True).alias("x"), side(False).alias("y"))
+    kept = split_join(halves, often, "h").groupBy("cid", "label").agg(side(True).alias("x"), side(False).alias("y"))
     pairs = kept.select("cid", "label", F.explode("x").alias("x"), "y").select("cid", "label", "x", F.explode("y").alias("y"))
     return pairs.select(F.xxhash64("x", "y").alias("key"), "cid", "label")
 
@@ -289,7 +281,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """(key, rep, cid, n, label) of keys that still hold classes of more than one component."""
         now = tables.select("key", "rep", "cid").join(labelled(parts), "cid")
         mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return written(_split(now, mixed, "key"), "apart")
+        return written(split_join(now, mixed, "key"), "apart")
 
     def stars(tables: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
         """Links of each class with the smallest of every key that holds more than one component."""
@@ -300,7 +292,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the diagonal of the tables first: what it joins needn't meet in the others
     keys = _diagonal_keys(classes)
     shared = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.count("*").alias("c")).where("c > 1").select("key", "rep")
-    tables = written(_split(keys, shared, "key"), "diagonal")
+    tables = written(split_join(keys, shared, "key"), "diagonal")
     texts = texts_of(tables)
     found = links(tables.where("cid <> rep").groupBy("cid").agg(F.min("rep").alias("b")).withColumnRenamed("cid", "a"), texts)
     found = found.unionByName(stars(tables, components(found), texts))
@@ -308,7 +300,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keys = written(_table_keys(labelled(parts, classes.select("cid", "halves"))), "keys")
     shared = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "rep")
-    tables = written(_split(keys, shared, "key"), "tables")
+    tables = written(split_join(keys, shared, "key"), "tables")
     texts = texts_of(tables)
     found = found.unionByName(stars(tables, parts, texts))
     parts = components(found)

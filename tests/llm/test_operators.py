@@ -1,11 +1,13 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kpiloom.llm import ann, fingerprints, langid, licenses, linededup, lm, minhash, mixing, packing, secrets
@@ -137,9 +139,10 @@ def test_passage_leaves_all_but_its_first_document(spark):
     for i in range(1, 5):
         assert passage not in got[i].text and f"Own start {i}." in got[i].text and f"Own end {i}" in got[i].text
         assert len(got[i].text) + got[i].chars_removed == len(rows[i][1])
-    texts = [passage, "a\n\nb\n", "", "x" * 1000, "One. Two. " * 60]
-    d = spark.createDataFrame([(t,) for t in texts], "text string").select("text", linededup.chunks(F.col("text")).alias("c"))
-    assert all("".join(c.text for c in r.c) == r.text for r in d.collect())
+    texts = [passage, "a\n\nb\n", "", "x" * 1000, "One. Two. " * 60, "\n\nA. \n\nB! C? \n", "A. \n\nB! C? \x1e\nD. E"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").select("text", linededup.units(F.col("text")).alias("c"))
+    assert all("".join(r.c) == r.text and "" not in r.c for r in d.collect())
+    assert {r.text: r.c for r in d.collect()}[texts[-1]] == ["A. \n\n", "B! ", "C? ", "\x1e\n", "D. ", "E"]
 
 
 def test_passages_go_whole_whatever_stands_around_them(spark):
@@ -162,13 +165,47 @@ def test_passages_go_whole_whatever_stands_around_them(spark):
     assert all(len(got[i].text) + got[i].chars_removed == len(t) for i, t, *_ in rows)
 
 
-def test_runs_of_equal_hash_go_only_if_their_bytes_agree(spark, monkeypatch):
-    rows = [(i, f"{c * 70}.\n{c * 80}.\n", None, None) for i, c in enumerate("abcab")]
-    own = F.xxhash64
-    # one hash for all runs, as if all of them collided
-    monkeypatch.setattr(linededup.F, "xxhash64", lambda *cols: own(*cols) if len(cols) > 1 else F.lit(7).cast("long"))
-    got = {r.doc_id: r.text for r in linededup.dedup(docs(spark, rows)).collect()}
-    assert got == {0: rows[0][1], 1: rows[1][1], 2: rows[2][1], 3: "", 4: ""}
+def test_removed_units_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    pool = ["".join(rng.choice(list("abc "), int(n))).strip() or "x" for n in rng.integers(1, 40, 12)] + ["long " * 45, "fairly long sentence of some seventy characters, give or take a few"]
+    rows = [(i, "".join(pool[k] + (". ", "\n", "\n\n")[int(rng.integers(3))] for k in rng.integers(0, 14, int(rng.integers(0, 12)))), None, None) for i in range(80)]
+    cut = {i: [u for u in re.split(r"(?<=\n)(?!\n)|(?<=[.!?]\x20)(?!\n)", t) if u] for i, t, *_ in rows}
+    bare = lambda t: t.rstrip(" \t\r\n")
+    seeds, places = {}, Counter()
+    for i, us in cut.items():
+        h = [xxhash.xxh64_intdigest(bare(u), 42) for u in us]
+        r = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in zip(h, h[1:], strict=False)]
+        signed = lambda x: x - (1 << 64) * (x >> 63)
+        least = {j for k in range(len(r)) for j in range(k, min(k + 4, len(r))) if signed(r[j]) == min(map(signed, r[k : k + 4]))}
+        seeds[i] = [(j, r[j]) for j in least] + [(j, h[j]) for j, u in enumerate(us) if len(bare(u)) >= 60]
+        places.update(x for _, x in seeds[i])
+    first, found = {}, []
+    for i, us in cut.items():
+        near = {u for j, x in seeds[i] if places[x] > 1 for u in range(max(0, j - 4), min(len(us), j + 6))}
+        mine = [(a, a + 2) for a in near if a + 1 < len(us)] + [(a, a + 1) for a in near if len(bare(us[a])) >= 200]
+        for a, b in sorted(mine, key=lambda p: (p[0], p[1])):
+            said = bare("".join(us[a:b]))
+            first.setdefault(said, (i, a, b))
+            found.append((i, a, b, said))
+    lost = {(i, k) for i, a, b, said in found if first[said] != (i, a, b) for k in range(a, b)}
+    for i, us in cut.items():
+        k = 0
+        while k < len(us):
+            e = k
+            while (i, e) in lost:
+                e += 1
+            if sum(len(bare(u)) for u in us[k:e]) < 60:
+                lost -= {(i, x) for x in range(k, e)}
+            k = max(e, k + 1)
+    got = {r.doc_id: r for r in linededup.dedup(docs(spark, rows)).collect()}
+    assert lost and all(got[i].text == "".join(u for k, u in enumerate(us) if (i, k) not in lost) for i, us in cut.items())
+    assert all(got[i].n_removed == sum((i, k) in lost for k in range(len(us))) for i, us in cut.items())
+
+
+def test_a_text_of_many_lines(spark):
+    rows = [(1, "".join(f"line {i} of a very long text\n" for i in range(100_000)), None, None), (2, "line 7 of a very long text\n" * 100_000, None, None)]
+    got = {r.doc_id: r for r in linededup.dedup(docs(spark, rows)).select("doc_id", "n_removed", F.length("text").alias("n")).collect()}
+    assert got[1].n_removed == 0 and got[2].n == 27
 
 
 def family(n, edits, seed):
