@@ -2,7 +2,9 @@
 
 A text's sketch keeps every hash of its five-word shingles below a fixed fraction of the hash range, so sketches of
 very unequal documents can be merged and compared: |A and B| / |A| estimates how much of A stands in B. A text all of
-whose hashes lie above the threshold keeps its smallest one, so that no text with words has an empty sketch.
+whose hashes lie above the threshold keeps its smallest one as a stand-in, so that no text with words has an empty
+sketch. Stand-ins make texts alike only if they are equal, never count for containment, and leave a sketch once it is
+merged with one that has hashes below the threshold; so a merged sketch is the sketch of both texts' shingles together.
 """
 
 from __future__ import annotations
@@ -34,12 +36,19 @@ def sketch(text: Column, k: int = SHINGLE, fraction: int = FRACTION) -> Column:
     """Sorted distinct kept hashes of a text; null and blank texts have none."""
 
     def kept(h: Column) -> Column:
-        below = F.array_sort(F.array_distinct(F.filter(h, lambda x: x < F.lit((1 << 63) // fraction))))
-        return let(below, lambda b: F.when((F.size(b) > 0) | (F.size(h) == 0), b).otherwise(F.array(F.array_min(h))))
+        return _held(F.array_sort(F.array_distinct(_below(h, fraction))), h)
 
     return let(shingle_hashes(text, k), kept)
 
 
+def _below(h: Column, fraction: int) -> Column:
+    return F.filter(h, lambda x: x < F.lit((1 << 63) // fraction))
+
+
+def _held(below: Column, h: Column) -> Column:
+    return let(below, lambda b: F.when((F.size(b) > 0) | (F.size(h) == 0), b).otherwise(F.array(F.array_min(h))))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard likeness of two sketches: 0 to 1; of two empty ones, 1."""
     both = F.size(F.array_intersect(a, b))
@@ -47,14 +56,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first sketch's shingles that the second has; null if the first is empty."""
-    return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(a).cast("double"))
+def containment(a: Column, b: Column, fraction: int = FRACTION) -> Column:
+    """Estimated share of the first sketch's shingles that the second has; null if the first has none below the threshold."""
+    return let(_below(a, fraction), lambda own: F.try_divide(F.size(F.array_intersect(own, b)).cast("double"), F.size(own).cast("double")))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """Sketch of two documents' union."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, fraction: int = FRACTION) -> Column:
+    """Sketch of two documents' shingles together."""
+    return let(F.array_sort(F.array_union(a, b)), lambda h: _held(_below(h, fraction), h))
 
 
 def spelled(sk: Column) -> Column:
