@@ -5,7 +5,8 @@ trigram, and-ed, give all languages whose filter contains it. A text's trigrams
 counted for each language, and each count is corrected for the false positives that the filter's fill predicts.
 
 The filters are learned from labelled rows: trigram counts of each language over all of them (a distributed sum), then
-the ``profile`` most frequent trigrams of each language that are at least half as frequent there as in any other.
+the ``profile`` most frequent trigrams of each language that are at least half as frequent there as in any other (all
+trigrams, should a language have none such), whatever their count, so every language with a letter is learned.
 What reaches the driver is bounded by languages * profile.
 """
 
@@ -136,19 +137,20 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "code": codes[s : s + 100_000].astype(np.int64), "n": n[s : s + 100_000]})
 
 
-def fit(labelled: DataFrame, profile: int = 20_000, least: int = 3) -> Model:
+def fit(labelled: DataFrame, profile: int = 20_000) -> Model:
     """Model from all rows of ``labelled`` (lang, text); rows without lang or text are left out.
 
-    ``profile`` bounds the trigrams of each language's filter, ``least`` their count. Ties go to smaller codes.
+    ``profile`` bounds the trigrams of each language's filter. Ties go to smaller codes.
     """
     rows = labelled.where("lang is not null and text is not null").select("lang", "text")
     counts = rows.mapInPandas(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    by_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    by_lang = Window.partitionBy("lang").orderBy(F.desc("own"), F.desc("n"), "code")
     # the share of a language's trigrams: its counts over their sum
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
     rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("all"))
-    kept = rated.withColumn("top", F.max("rate").over(Window.partitionBy("code"))).where(f"n >= {least} and rate >= 0.5 * top")
-    kept = kept.withColumn("place", F.row_number().over(by_lang)).where(f"place <= {profile}").select("lang", "code", "all")
+    kept = rated.withColumn("own", F.col("rate") >= 0.5 * F.max("rate").over(Window.partitionBy("code")))
+    kept = kept.withColumn("place", F.row_number().over(by_lang)).withColumn("any", F.max("own").over(Window.partitionBy("lang")))
+    kept = kept.where(f"place <= {profile} and (own or not any)").select("lang", "code", "all")
     found = kept.toPandas()
     profiles = {k: v["code"].to_numpy() for k, v in found.groupby("lang")}
     return Model(profiles, {k: int(v["all"].iloc[0]) for k, v in found.groupby("lang")})
@@ -157,8 +159,8 @@ def fit(labelled: DataFrame, profile: int = 20_000, least: int = 3) -> Model:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` (share of trigrams in the language's filter, corrected).
 
-    ``und``, with score 0, if the text is null or has no letter, or no language was learned. Equal counts go to the
-    language with more training trigrams, then to the first by name. Repeated rows are each predicted; columns named
+    ``und``, with score 0, if the text is null or has no letter, or no language was learned. Equal counts, none at all
+    among them, go to the language with more training trigrams, then to the first by name. Repeated rows are each predicted; columns named
     like the two new ones are replaced. Only the text is looked at.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
