@@ -25,12 +25,17 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 # Templates (label, words, mandatory key phrases), from the public texts of the licences.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("hereby granted free of charge", "sublicense and or sell")),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("this permission notice shall be included in all copies", "dealings in the software")),
     ("mit", "released under the mit license", ("the mit license",)),
     ("mit", "licensed under the mit license", ("the mit license",)),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache license version 2", "in compliance with the license")),
     ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "following conditions are met")),
     ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution", ("alter it and redistribute it freely", "altered source versions must be plainly marked")),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so", ("any person or organization obtaining a copy", "prepare derivative works of the software")),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("in the hope that it will be useful", "gnu general public license")),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-2", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation")),
@@ -39,6 +44,8 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", ("the author disclaims all warranties with regard to this software",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("free and unencumbered software", "anyone is free to copy modify publish use compile sell or distribute this software")),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software", "public domain")),
     ("cc0", "licensed under the creative commons cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
     ("cc-by", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
@@ -116,10 +123,10 @@ def scan(docs: DataFrame, least: float = 0.6, slack: int = 4, id_col: str = "doc
                 inside = _IN_WORD[np.frombuffer(low, np.uint8)]
                 starts = inside.copy()
                 starts[1:] &= ~inside[:-1]
-                base = []
-                for pattern, hint, label in _PHRASES:
-                    if hint in low:
-                        base += [(int(starts[: m.start()].sum()), label) for m in pattern.finditer(low)]
+                base = [(m.start(), label) for pattern, hint, label in _PHRASES if hint in low for m in pattern.finditer(low)]
+                if base:
+                    before = np.cumsum(starts)
+                    base = [(int(before[at]) - 1, label) for at, label in base]
                 found = index.find(_WORD.findall(low), least, slack) if rare.search(low) else {}
                 mine = sorted({label for _, label in base})
                 rows.append((
