@@ -25,8 +25,8 @@ BASE = (
 #: A cheap pattern for each kind that is found in every text that has a counting match of that kind.
 HINT = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": "AKIA", "hex": "[0-9a-f]{24}"}
 
-#: Candidates of the Markov models: runs of at least 16 such characters that hold a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+#: Candidates of the Markov models: all whole runs of 16 or more such characters.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ORDER = ("assign", "access", "hex", "markov")
 
 #: Words of which the sample identifiers are made.
@@ -95,16 +95,26 @@ def matches(text: Column, pattern: str, group: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     token = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     zipped = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.arrays_zip(found.alias("m"), token.alias("t")), lambda s, x: F.struct(F.char_length(s).alias("gap"), F.char_length(x["m"]).alias("n"), x["t"].alias("token")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out"))
-    return F.aggregate(
-        zipped,
-        zero,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["token"].alias("token"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+
+    def placed(ms: Column) -> Column:
+        ends = let(F.transform(ms, lambda x: x["gap"] + x["n"]), lambda v: running(v))
+        return F.zip_with(ms, ends, lambda x, e: F.struct((e - x["n"]).alias("start"), e.alias("end"), x["token"].alias("token")))
+
+    return let(zipped, placed)
+
+
+def running(values: Column, block: int = 64) -> Column:
+    """Running sums of an array, by blocks: no array is grown element by element."""
+    add = lambda some: F.aggregate(some, F.lit(0), lambda a, x: a + x)
+    some = lambda n, body: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), body)).otherwise(F.array().cast("array<int>"))
+    whole = some((F.size(values) / block).cast("int"), lambda b: add(F.slice(values, b * block + 1, F.lit(block))))
+    before = let(whole, lambda w: F.transform(F.sequence(F.lit(0), F.size(w)), lambda b: add(F.slice(w, F.lit(1), b))))
+
+    def at(b: Column) -> Column:
+        inside = lambda i: add(F.slice(values, i - i % block + 1, i % block + 1))
+        return F.transform(values, lambda _, i: F.get(b, (i / block).cast("int")) + inside(i))
+
+    return let(before, at)
 
 
 def base_spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
