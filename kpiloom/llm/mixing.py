@@ -23,11 +23,11 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 def apportion(parties: DataFrame, group: list[str], key: str, votes: str, seats: str) -> DataFrame:
     """``parties`` with ``quota``: the ``seats`` of each group dealt by highest quotients votes / (2 k + 1).
 
-    Rounding votes * seats / all votes leaves out at most half as many seats as there are parties; the highest (or
+    Rounding votes * seats / all votes (as doubles, which can't overflow) leaves out at most half as many seats as there are parties; the highest (or
     lowest) quotients settle those. Ties go to the smaller key, null first. Groups without votes get nothing.
     """
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    first = F.coalesce(F.floor(F.expr(f"try_divide({votes} * {seats}, __all)") + 0.5), F.lit(0)).cast("long")
+    first = F.coalesce(F.floor(F.expr(f"try_divide(CAST({votes} AS DOUBLE) * {seats}, __all)") + 0.5), F.lit(0)).cast("long")
     start = parties.withColumn("__all", F.sum(votes).over(whole)).withColumn("__first", first)
     start = start.withColumn("__left", F.when(F.col("__all") > 0, F.col(seats) - F.sum("__first").over(whole)).otherwise(F.lit(0)))
     more = start.where("__left <> 0").select(
