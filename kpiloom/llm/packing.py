@@ -57,6 +57,7 @@ def _packer(capacity: int, copies: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "cluster", "source"], ascending=[False, True, True, True], na_position="first", kind="stable")
         bit = {k: pd.factorize(pdf[k], use_na_sentinel=False)[0].tolist() for k in ("source", "cluster")}
+        bit["cluster"] = [c if size else len(pdf) + i for i, (c, size) in enumerate(zip(bit["cluster"], pdf["size"], strict=True))]
         rows, bins = [], []
         tag, full = pdf["shard"].iloc[0], 0
         rests = []
@@ -83,9 +84,9 @@ def pack(docs: DataFrame, capacity: int = 2048, copies: int = 8, shard: int = 40
 
     ``cluster`` is the duplicate cluster; without it, texts equal but for case and spaces are one. No bin holds two
     rests of one cluster or more than ``copies`` of one source (null is a source). Texts without words, and null ones,
-    are pieces of 0 words that share one bin for each cluster rule; repeated rows are packed each. An empty table gives
-    no bins. Other columns play no part. A shard's rows are ids and sizes, not texts; hot sources and clusters are
-    spread over all shards.
+    are pieces of 0 words that belong to no cluster; repeated rows are packed each. An empty table gives no bins. Other
+    columns play no part. A shard's rows are ids and sizes, not texts; rows are dealt by id and place in the table, so
+    that hot sources and clusters, repeated ids and rows without one are spread over all shards.
     """
     same = F.array_join(words(ascii_lower(F.col("text"))), " ")
     rows = docs.select(
@@ -93,7 +94,8 @@ def pack(docs: DataFrame, capacity: int = 2048, copies: int = 8, shard: int = 40
         (F.xxhash64(same) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
     )
     shards = max(1, -(-docs.select(F.lit(1)).count() // shard))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)))
+    place = F.monotonically_increasing_id()  # the same again when a lost task is run again
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", place, F.lit("shard")), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_packer(capacity, copies), SCHEMA)
 
 

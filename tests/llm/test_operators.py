@@ -57,6 +57,32 @@ def test_sketches(spark):
     pair = d.where("doc_id = 2").select(fingerprints.sketch(F.col("text")).alias("a")).crossJoin(d.where("doc_id = 1").select(fingerprints.sketch(F.col("text")).alias("b")))
     r = pair.select(fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.likeness(F.col("a"), F.col("b")).alias("l"), fingerprints.merge(F.col("a"), F.col("b")).alias("m")).first()
     assert r.c == 1.0 and r.m == s[1].sketch and 0 < r.l <= 1
+    few = spark.range(40).select(F.collect_list(fingerprints.sketch(F.format_string("few%d words alone", "id"))).alias("s"))
+    whole = few.select(F.reduce("s", F.array().cast("array<bigint>"), lambda a, b: fingerprints.merge(a, b)).alias("m"), F.array_sort(F.flatten("s")).alias("all")).first()
+    assert whole.m == [h for h in whole.all if h < (1 << 63) // fingerprints.FRACTION] and 0 < len(whole.m) < 40
+
+
+def test_fingerprint_query_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i * 300, " ".join(f"é{x}" for x in rng.integers(0, 50, int(rng.integers(0, 60))))) for i in range(20)] + [(7, None), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in fingerprints.query(spark, str(tmp_path)).collect()}
+    order = sorted((i, t or "") for i, t in rows)
+    alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for (i, t), (j, after) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, other, cut = (set(x.split()) for x in (got[i].fingerprint, got[j].fingerprint, got[i].edited_fingerprint))
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert got[i].near_edited == pytest.approx(alike(own, cut)) and got[i].near_next == pytest.approx(alike(own, other))
+        assert bool(own) == bool(t) and (len(own) == 1 or all(int(h, 16) < (1 << 63) // fingerprints.FRACTION for h in own))
+
+
+def test_many_places_in_one_text(spark):
+    many = "token=abcdefgh1 under the mit license " * 20_000
+    (r,) = secrets.scan(docs(spark, [(1, many, None, None)])).collect()
+    assert [(s.start, s.end) for s in r.base] == [(m.start(), m.end()) for m in re.finditer("token=abcdefgh1", many)]
+    (r,) = licenses.scan(docs(spark, [(1, many, None, None)])).collect()
+    assert (r.n_base, r.first_word, r.last_word) == (20_000, 2, 19_999 * 6 + 2)
 
 
 def test_next_row_over_groups_and_levels(spark):
@@ -71,7 +97,7 @@ def test_next_row_over_groups_and_levels(spark):
 
 def test_languages(spark):
     rows = [(i, " ".join((EN if i % 2 else DE).split()[i % 3 :]), "en" if i % 2 else "de", "s") for i in range(40)]
-    model = langid.fit(docs(spark, rows), least=1)
+    model = langid.fit(docs(spark, rows))
     names, scores = model.predict([EN, DE, None, "123", "ß" * 10])
     assert names[:4] == ["en", "de", "und", "und"] and scores[2] == 0 and names[4] in ("en", "de") and all(0 <= s <= 1 for s in scores)
     old, langid.PIECE = langid.PIECE, 7
@@ -81,6 +107,13 @@ def test_languages(spark):
         langid.PIECE = old
 
 
+def test_every_labelled_language_is_learned(spark):
+    few = langid.fit(docs(spark, [(1, EN, "en", "s"), (2, "ja", "nb", "s")]))
+    assert few.languages == ["en", "nb"] and few.predict(["ja", EN, "qqq"])[0] == ["nb", "en", "en"]
+    one = langid.fit(docs(spark, [(i, EN, "en", "s") for i in range(30)] + [(99, DE, "de", "s")]))
+    assert one.predict([DE, EN])[0] == ["de", "en"]
+
+
 def test_lm_against_brute_force(spark):
     rows = [(i, " ".join(LONG.split()[i * 50 : i * 50 + 40 + i]) + (" Unseen" if i == 5 else ""), None, None) for i in range(12)] + [(12, None, None, None)]
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
@@ -110,7 +143,26 @@ def test_neighbours_against_brute_force(spark):
         if q < 150:
             assert mine == near
     assert hit / total >= 0.9
-    assert ann.search(d.limit(0), F.lit(True)).count() == 0
+    for few in (0, 1, 8):
+        small = ann.search(spark.createDataFrame([(i, x[200 + i].tolist()) for i in range(few)], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+        want = {(q, r): i for q in range(few) for r, i in enumerate([i for i in np.argsort(((x[200 : 200 + few] - x[200 + q]) ** 2).sum(1), kind="stable") if i != q][:10], 1)}
+        assert {(r.query_id, r.rank): r.vec_id for r in small} == want
+    lone = spark.createDataFrame([(i, (x[i % 3 + 200] * (1 + i / 1000)).tolist()) for i in range(90)] + [(100, (-x[200]).tolist())], "vec_id long, embedding array<double>")
+    assert ann.search(lone, F.col("vec_id") == 100, block=16).count() == 10
+
+
+def test_a_query_is_compared_with_a_small_part(spark):
+    x = np.random.default_rng(1).normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    every = ann.rotations(x, 32, 7)
+    seen = np.zeros((20, len(x)), bool)
+    for one, two in zip(every, every, strict=True):
+        a, b = ann.nearest_pairs(one, two, 1)
+        p, q = ann.nearest_pairs(one[:20], two[:20], 256)
+        for i in range(20):
+            seen[i] |= np.isin(a[:, 0] * 128 + b[:, 0], p[i] * 128 + q[i])
+    near = np.argsort(-(x[:20] @ x.T), axis=1)[:, 1:11]
+    assert seen.mean() < 0.3 and np.take_along_axis(seen, near, axis=1).mean() >= 0.9
 
 
 def test_apportionment_against_quotients(spark):
@@ -259,10 +311,16 @@ def test_packing_rules(spark):
     assert load.max() <= 512 and (512 - load == out.groupby("bin").bin_free.first()).all()
     rests = out[~out.bin.str.contains("f")]
     text, source = {r[0]: r[1] for r in rows}, {r[0]: r[3] for r in rows}
-    assert rests.assign(c=rests.doc_id.map(text)).groupby(["bin", "c"]).size().max() == 1
+    full = rests[rests.n_words > 0]
+    assert full.assign(c=full.doc_id.map(text)).groupby(["bin", "c"]).size().max() == 1
     assert rests.assign(c=rests.doc_id.map(source)).groupby(["bin", "c"]).size().max() <= 3
 
 
+def test_rows_without_words_share_bins(spark):
+    out = packing.pack(docs(spark, [(None, None, None, "s")] * 30 + [(1, "", None, None)] * 10), copies=8).toPandas()
+    assert len(out) == 40 and out.bin.nunique() == 4
+
+
 def test_best_fit_against_full_search():
     rng = np.random.default_rng(2)
     items = sorted(((int(rng.integers(1, 60)), int(rng.integers(0, 4)), int(rng.integers(0, 30))) for _ in range(200)), reverse=True)
