@@ -62,9 +62,10 @@ def grouping(kpis: DataFrame) -> DataFrame:
     ``strategy`` tells the grain, since units may be null themselves; distinct counts take null for a value.
     """
     distinct = lambda c: F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))
-    df = kpis.select("name", "key", "units", "year", "value", F.col("key").alias("k"), F.col("units").alias("u"))
+    same = kpis.groupBy("name", "key", "units", "year").agg(F.count("*").alias("n"))  # before the grains multiply rows
+    df = same.select("name", "key", "units", "year", "n", F.col("key").alias("k"), F.col("units").alias("u"))
     out = df.groupingSets([["name"], ["name", "key"], ["name", "key", "units"]], "name", "key", "units").agg(
-        F.grouping_id().alias("g"), F.count("*").alias("size"), F.countDistinct("year").alias("n_years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), distinct("k").alias("n_keys"), distinct("u").alias("n_units")
+        F.grouping_id().alias("g"), F.sum("n").alias("size"), F.countDistinct("year").alias("n_years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), distinct("k").alias("n_keys"), distinct("u").alias("n_units")
     )
     strategy = F.when(F.col("g") == 3, "name").when(F.col("g") == 1, "name_key").otherwise("name_key_units")
     return out.select(strategy.alias("strategy"), *[c for c in out.columns if c != "g"])

@@ -37,22 +37,28 @@ def rule_kpis(packs: DataFrame, model: str = "rules") -> DataFrame:
     )
 
 
-def generate(packs: DataFrame, make: Callable[[], Callable[[str], str]], model: str) -> DataFrame:
-    """(table_id, raw, error) of each pack: what the callable that ``make`` builds says of the table's JSON."""
+def generate(packs: DataFrame, make: Callable[[], Callable[[str], str]], model: str | None = None) -> DataFrame:
+    """(table_id, model, raw, error) of each pack: what the callable that ``make`` builds says of the row's JSON.
+
+    Without ``model`` the rows name theirs. A callable with a ``close`` is closed when its partition is done.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         say = make()
-        for pdf in batches:
-            rows = []
-            for table_id, prompt in zip(pdf["table_id"], pdf["prompt"], strict=True):
-                try:
-                    rows.append((table_id, say(prompt), None))
-                except Exception as e:  # noqa: BLE001  a model's failure is a row, not the job's
-                    rows.append((table_id, None, str(e)))
-            yield pd.DataFrame(rows, columns=["table_id", "raw", "error"])
-
-    prompt = packs.select("table_id", F.to_json(F.struct(*packs.columns)).alias("prompt"))
-    return prompt.mapInPandas(run, "table_id string, raw string, error string").withColumn("model", F.lit(model))
+        try:
+            for pdf in batches:
+                rows = []
+                for table_id, of, prompt in zip(pdf["table_id"], pdf["model"], pdf["prompt"], strict=True):
+                    try:
+                        rows.append((table_id, of, say(prompt), None))
+                    except Exception as e:  # noqa: BLE001  a model's failure is a row, not the job's
+                        rows.append((table_id, of, None, str(e)))
+                yield pd.DataFrame(rows, columns=["table_id", "model", "raw", "error"])
+        finally:
+            getattr(say, "close", lambda: None)()
+
+    prompt = packs.select("table_id", (F.col("model") if model is None else F.lit(model)).alias("model"), F.to_json(F.struct(*packs.columns)).alias("prompt"))
+    return prompt.mapInPandas(run, "table_id string, model string, raw string, error string")
 
 
 def parse(generated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,6 +69,48 @@ def parse(generated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.withColumn("source_model", F.coalesce("source_model", "model")).select("table_id", *KPI_COLUMNS), bad
 
 
+def recovered(bad: DataFrame, packs: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """A second call for outputs that hold no ``kpis`` list: (table_id, raw, error, model), as ``generate`` gives.
+
+    The callable gets the table, its own first output and what was wrong with it. Calls that failed get no second one.
+    """
+    table = packs.select("table_id", F.struct(*packs.columns).alias("table"))
+    asked = bad.where("raw is not null").join(table, "table_id").select("table_id", "model", "table", F.col("cleaned").alias("incomplete_output"), F.col("error").alias("parse_error"))
+    return generate(asked, make)
+
+
+def extracted(packs: DataFrame, make: Callable[[], Callable[[str], str]], model: str, path: str) -> DataFrame:
+    """(table_id, model, kpis, error, recovered) of each pack, after one recovery of outputs that hold no KPIs.
+
+    Outputs are written under ``path`` before they are read again, so the callable is asked once for each table.
+    """
+    spark = packs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    def rows(said: DataFrame, again: bool) -> tuple[DataFrame, DataFrame]:
+        good, bad = parse(said)
+        full = good.groupBy("table_id").agg(F.collect_list(F.struct(*KPI_COLUMNS)).alias("kpis"))
+        empty = said.select("table_id").join(bad.select("table_id"), "table_id", "left_anti").join(full, "table_id", "left")
+        none = F.array().cast(full.schema["kpis"].dataType)
+        return empty.select("table_id", F.lit(model).alias("model"), F.coalesce("kpis", none).alias("kpis"), F.lit(None).cast("string").alias("error"), F.lit(again).alias("recovered")), bad
+
+    first, bad = rows(kept(generate(packs, make, model), "first"), False)
+    second, lost = rows(kept(recovered(bad, packs, make), "second"), True)
+    none = F.array().cast(first.schema["kpis"].dataType)
+    failed = bad.join(second.select("table_id"), "table_id", "left_anti").join(lost.select("table_id", F.col("error").alias("later")), "table_id", "left")
+    failed = failed.select("table_id", F.lit(model).alias("model"), none.alias("kpis"), F.coalesce(F.concat(F.lit("JSON recovery failed: "), F.col("later")), F.col("error")).alias("error"), F.lit(False).alias("recovered"))
+    return first.unionByName(second).unionByName(failed)
+
+
+def run_totals(results: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Tables, successes, failures and KPIs of each run."""
+    ok = F.col("error").isNull()
+    return results.groupBy(*by).agg(F.count("*").alias("tables"), F.count_if(ok).alias("successes"), F.count_if(~ok).alias("failures"), F.coalesce(F.sum(F.when(ok, F.size("kpis"))), F.lit(0)).alias("kpis"))
+
+
 def corrected(checked: DataFrame) -> DataFrame:
     """Invalid KPIs as the validator's hints would have them: row by label, place by neighbour, name from the key's table."""
     r = F.coalesce(F.col("hit.r"), F.col("label_at"), F.col("row_idx"))
@@ -74,17 +122,25 @@ def corrected(checked: DataFrame) -> DataFrame:
     return checked.select("table_id", *[cols.get(k, F.col(k)).alias(k) for k in KPI_COLUMNS])
 
 
-def correct(kpis: DataFrame, packs: DataFrame, rounds: int = 3) -> DataFrame:
+def correct(kpis: DataFrame, packs: DataFrame, rounds: int = 3, path: str | None = None) -> DataFrame:
     """Validation after at most ``rounds`` rounds; ``iteration`` tells in which a KPI was settled.
 
-    Each round corrects only what is invalid. Rounds are unrolled into one plan of narrow steps over ``rounds`` joins.
+    Each round corrects only what is invalid. With ``path`` each round is written there before the next reads it;
+    without, rounds are unrolled into one plan of narrow steps over ``rounds`` joins.
     """
-    checked = validate(kpis, packs).withColumn("iteration", F.lit(1))
+
+    def kept(df: DataFrame, i: int) -> DataFrame:
+        if path is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{path}/round={i}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/round={i}")
+
+    checked = kept(validate(kpis, packs).withColumn("iteration", F.lit(1)), 1)
     done = None
     for i in range(2, rounds + 1):
         valid = checked.where("is_valid")
         done = valid if done is None else done.unionByName(valid)
-        checked = validate(corrected(checked.where("not is_valid")), packs).withColumn("iteration", F.lit(i))
+        checked = kept(validate(corrected(checked.where("not is_valid")), packs).withColumn("iteration", F.lit(i)), i)
     return checked if done is None else done.unionByName(checked)
 
 

@@ -36,7 +36,7 @@ SAYS = {
     "both_null": "Both null (cell: '{}')",
     "value_null": "Extracted null but source={} (cell: '{}')",
     "source_null": "Source null but extracted={} (cell: '{}')",
-    "not_number": "Type conversion error: extracted={}, source={}",
+    "not_number": "Type conversion error: extracted={} (type=str), source={} (type=float)",
     "small": "Small diff: {}",
     "moderate": "Moderate diff: extracted={}, source={}, diff={}",
     "beside": "⚠ Auto-corrected: col_idx={} → col_idx={}, value match improved ({} → {})",
@@ -46,14 +46,30 @@ SAYS = {
     "fix_title": "  - Table title: '{}'",
     "fix_section": "  - Section: '{}'",
     "fix_current": "  - Current row: '{}'",
+    "fix_which": "SOLUTION: Determine which is the metric (name) vs entity (key):",
+    "fix_vehicles": "  - If table measures production/sales of vehicles: name='Production' or 'Sales', key='{}'",
+    "fix_company": "  - If table shows KPIs for a company/brand: name='{}', key='Company'/'Brand'",
+    "fix_read": "  - Check title and section to determine the correct interpretation",
     "fix_row": "FIX: row_idx={} points to wrong row",
+    "fix_row_is": "  - Current: row_name='{}' but stub_col[{}]='{}'",
+    "fix_row_how": "SOLUTION: Search stub_col for the correct row_idx where value matches '{}':",
+    "fix_row_at": "  → Found at row_idx={}, stub_col[{}]='{}'",
     "fix_row_to": "  → Update: row_idx: {} → {}, row_name: '{}' → '{}'",
     "fix_col": "WARNING: col_idx={} may point to wrong column",
+    "fix_col_is": "  - Current: col_name='{}' but merged_headers[{}]='{}'",
+    "fix_col_how": "SOLUTION: Search merged_headers for correct col_idx where value matches '{}':",
+    "fix_col_at": "  → Found at col_idx={}, merged_headers[{}]='{}'",
     "fix_col_to": "  → Consider updating: col_idx: {} → {}, col_name: '{}' → '{}'",
     "fix_moderate": "FIX: Value mismatch (5% error)",
     "fix_large": "FIX: Large value mismatch (>5% error)",
     "fix_extracted": "  - Extracted: {}",
     "fix_source": "  - Source at [{}][{}]: {} (text: '{}')",
+    "fix_beside": "SOLUTION: Check if value appears in adjacent cells:",
+    "fix_around": "SOLUTION: Search nearby cells for the extracted value {}:",
+    "fix_found": "  → Found {} at [{}][{}]: rows[{}][{}]='{}'",
+    "fix_found_near": "  → FOUND at [{}][{}]: {} (text: '{}')",
+    "fix_row_name": "  → Update row_name: '{}' → '{}'",
+    "fix_col_name": "  → Update col_name: '{}' → '{}'",
     "fix_place": "  → Update indices: row_idx: {} → {}, col_idx: {} → {}",
 }
 
@@ -170,12 +186,24 @@ def validate(kpis: DataFrame, packs: DataFrame) -> DataFrame:
     df = df.withColumn("label_at", F.when(go & (row == "differs"), find_label(F.col("p_stub"), F.col("row_name")))).withColumn("headers_at", F.when(go & (col == "differs"), find_headers(F.col("p_head"), F.col("col_name")))).withColumn("hits", hits)
     nothing = F.array().cast("array<string>")
     fixes = F.concat(
-        F.when(o == "same_name", F.array(say("fix_name", col_("key"), col_("name")), say("fix_title", F.coalesce("p_title", F.lit(""))), say("fix_section", F.coalesce("p_section", F.lit(""))), say("fix_current", F.coalesce("row_name", F.lit(""))))).otherwise(nothing),
-        F.when(go & (row == "differs"), F.array_compact(F.array(say("fix_row", r), F.when(col_("label_at").isNotNull(), say("fix_row_to", r, col_("label_at"), col_("stub"), F.get("p_stub", col_("label_at"))))))).otherwise(nothing),
-        F.when(go & (col == "differs"), F.concat(F.array(say("fix_col", c)), F.transform("headers_at", lambda i: say("fix_col_to", c, i, col_("head"), F.get("p_head", i))))).otherwise(nothing),
+        F.when(o == "same_name", F.array(say("fix_name", col_("key"), col_("name")), say("fix_title", F.coalesce("p_title", F.lit(""))), say("fix_section", F.coalesce("p_section", F.lit(""))), say("fix_current", F.coalesce("row_name", F.lit(""))),
+            say("fix_which"), say("fix_vehicles", col_("key")), say("fix_company", col_("name")), say("fix_read"))).otherwise(nothing),
+        F.when(go & (row == "differs"), F.array_compact(F.array(
+            say("fix_row", r), say("fix_row_is", col_("row_name"), r, col_("stub")), say("fix_row_how", S.strip(col_("row_name"))),
+            F.when(col_("label_at").isNotNull(), say("fix_row_at", col_("label_at"), col_("label_at"), F.get("p_stub", col_("label_at")))), F.when(col_("label_at").isNotNull(), say("fix_row_to", r, col_("label_at"), col_("stub"), F.get("p_stub", col_("label_at"))))))).otherwise(nothing),
+        F.when(go & (col == "differs"), F.concat(
+            F.array(say("fix_col", c), say("fix_col_is", col_("col_name"), c, col_("head")), say("fix_col_how", S.strip(col_("col_name")))),
+            F.flatten(F.transform("headers_at", lambda i: F.array(say("fix_col_at", i, i, F.get("p_head", i)), say("fix_col_to", c, i, col_("head"), F.get("p_head", i))))),
+        )).otherwise(nothing),
         F.when(o.isin("moderate", "large"), F.concat(
-            F.array(F.when(o == "moderate", say("fix_moderate")).otherwise(say("fix_large")), say("fix_extracted", col_("number")), say("fix_source", r, c, col_("source"), col_("cell"))),
-            F.transform("hits", lambda x: say("fix_place", r, x["r"], c, x["c"])),
+            F.array(F.when(o == "moderate", say("fix_moderate")).otherwise(say("fix_large")), say("fix_extracted", col_("number")), say("fix_source", r, c, col_("source"), col_("cell")),
+                F.when(o == "moderate", say("fix_beside")).otherwise(say("fix_around", col_("number")))),
+            F.flatten(F.transform("hits", lambda x: F.array_compact(F.array(
+                F.when(o == "moderate", say("fix_found", col_("number"), x["r"], x["c"], x["r"], x["c"], x["text"])).otherwise(say("fix_found_near", x["r"], x["c"], S.parse_number(x["text"]), x["text"])),
+                say("fix_place", r, x["r"], c, x["c"]),
+                F.when((o == "large") & (x["r"] < F.size("p_stub")), say("fix_row_name", col_("row_name"), F.get("p_stub", x["r"]))),
+                F.when((o == "large") & (x["c"] < F.size("p_head")), say("fix_col_name", col_("col_name"), F.get("p_head", x["c"]))),
+            )))),
         )).otherwise(nothing),
     )
     moved = go & ((o == "beside") | F.col("shift"))
@@ -209,21 +237,35 @@ def statistics(checked: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def error_histogram(checked: DataFrame) -> DataFrame:
-    """(error_type, n): errors by their text before the first colon."""
-    return checked.select(F.explode("errors").alias("e")).groupBy(F.substring_index("e", ":", 1).alias("error_type")).agg(F.count("*").alias("n"))
+    """(error_type, n, mean_confidence): errors by their text before the first colon, and the confidence of their KPIs."""
+    said = checked.select(F.explode("errors").alias("e"), "confidence")
+    return said.groupBy(F.substring_index("e", ":", 1).alias("error_type")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+
+
+def iteration_statistics(settled: DataFrame) -> DataFrame:
+    """(table_id, iteration, total_kpis, valid_kpis, invalid_kpis, accuracy) of each round of ``extract.correct``.
+
+    A table has rounds until all its KPIs are valid, or the last round.
+    """
+    of = settled.groupBy("table_id", "iteration").agg(F.count("*").alias("n"), F.count_if("is_valid").alias("v"))
+    so_far = Window.partitionBy("table_id").orderBy("iteration")
+    table = of.groupBy("table_id").agg(F.sum("n").alias("total_kpis"), F.max("iteration").alias("last"))
+    rounds = table.select("table_id", "total_kpis", F.explode(F.sequence(F.lit(1), "last")).alias("iteration"))
+    out = rounds.join(of.select("table_id", "iteration", "v"), ["table_id", "iteration"], "left").withColumn("valid_kpis", F.sum(F.coalesce("v", F.lit(0))).over(so_far))
+    return out.select("table_id", "iteration", "total_kpis", "valid_kpis", (F.col("total_kpis") - F.col("valid_kpis")).alias("invalid_kpis"), (F.col("valid_kpis") / F.col("total_kpis") * 100).alias("accuracy"))
 
 
-def valid_report(checked: DataFrame) -> DataFrame:
-    """Valid KPIs with evidence, at the places that were given, not at corrected ones."""
+def valid_report(checked: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Valid KPIs with evidence, at the places that were given, not at corrected ones; columns ``carry`` go with them."""
     ev = F.struct("table_id", "row_idx", "col_idx", "row_name", "col_name")
-    return checked.where("is_valid").select("name", "key", "units", "value", "year", ev.alias("evidence"))
+    return checked.where("is_valid").select(*(carry or ()), "name", "key", "units", "value", "year", ev.alias("evidence"))
 
 
-def invalid_report(checked: DataFrame) -> DataFrame:
-    """Invalid KPIs, without value, with their validation."""
+def invalid_report(checked: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Invalid KPIs, without value, with their validation; columns ``carry`` go with them."""
     kpi = F.struct("name", "key", "units", "year", "row_idx", "col_idx", "row_name", "col_name")
     v = F.struct("is_valid", "confidence", "errors", "fix_instructions", "source_cell_value", "source_cell_text", "extracted_value", F.col("checked_row_idx").alias("row_idx"), F.col("checked_col_idx").alias("col_idx"), "row_name_match", "col_name_match")
-    return checked.where("not is_valid").select("table_id", kpi.alias("kpi"), v.alias("validation"))
+    return checked.where("not is_valid").select(*(carry or ()), "table_id", kpi.alias("kpi"), v.alias("validation"))
 
 
 def plausibility(kpis: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Table packs and other JSON documents as DataFrames.
 
-Line numbers come from whole files split at line ends, not from file splits, so ``ord`` (file, line) is the same on
-every run.
+Files of lines are read in splits, so that a large one takes many tasks. ``line`` is (start of the split, place in what
+the task read): in order inside a file, and the same on every run over the same splits.
 """
 
 from __future__ import annotations
@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiloom.functions import scalars as S
-from kpiloom.schemas import ENVELOPE, PACK, VALID_FILE
+from kpiloom.schemas import ENVELOPE, KPI, PACK, VALID_FILE
+
+
+#: Fixed value: the year in the name of a file of tables, and of an extraction from it.
+YEAR_IN_NAME = r"linked_tables\((\d{4})\)"
 
 
 def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
@@ -18,8 +22,8 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     reader = spark.read
     if not path.endswith((".jsonl", ".json")):
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return df.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("text"))
 
 
 def jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -64,7 +68,7 @@ def years(packs: DataFrame) -> DataFrame:
 def extractions(spark: SparkSession, path: str) -> DataFrame:
     """KPIs of extraction files in either envelope: file, year (of the file name), table_id, place and KPI fields."""
     df = spark.read.schema(ENVELOPE).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    df = df.select(F.col("_metadata.file_path").alias("file"), F.nullif(F.regexp_extract(F.col("_metadata.file_name"), r"linked_tables\((\d{4})\)", 1), F.lit("")).alias("file_year"), "metadata.model", "tables", "results")
+    df = df.select(F.col("_metadata.file_path").alias("file"), F.nullif(F.regexp_extract(F.col("_metadata.file_name"), YEAR_IN_NAME, 1), F.lit("")).alias("file_year"), "metadata.model", "tables", "results")
     t = F.coalesce(F.transform("tables", lambda x: F.struct(x["table_id"].alias("table_id"), x["extraction_result"]["kpis"].alias("kpis"))), F.array().cast("array<struct<table_id:string,kpis:array<struct<name:string,key:string,units:string,value:string,year:int,row_name:string,row_idx:int,col_name:string,col_idx:int,source_model:string>>>>"))
     r = F.coalesce(F.transform("results", lambda x: F.struct(x["table_id"].alias("table_id"), x["kpis"].alias("kpis"))), F.slice(t, 1, 0))
     df = df.select("file", "file_year", "model", F.posexplode(F.concat(t, r)).alias("entry", "x")).where("x.table_id is not null and x.table_id <> '' and size(x.kpis) > 0")
@@ -90,6 +94,23 @@ def latest_file(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return df.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("file"))
 
 
+def checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """(file, table_id, model, error, kpis) of checkpoint files: a bare list of results or an envelope with ``results``.
+
+    A file that is absent, corrupt or of another form has no rows; it never fails.
+    """
+    result = f"struct<table_id:string,model:string,error:string,kpis:array<{KPI}>>"
+    out = f"file string, table_id string, model string, error string, kpis array<{KPI}>"
+    try:
+        df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], out)
+    listed = F.when(F.col("value").startswith("["), F.from_json("value", f"array<{result}>")).otherwise(F.from_json("value", f"results array<{result}>")["results"])
+    return df.select("file", F.inline(listed)).where("table_id is not null or error is not null or kpis is not null")
+
+
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Earlier results (table_id, model, error, kpis); empty where nothing was written yet."""
     schema = "table_id string, model string, error string, kpis string"

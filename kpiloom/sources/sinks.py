@@ -28,16 +28,28 @@ def by_year(packs: DataFrame, path: str) -> None:
     packs.withColumn("table_year", y).write.mode("overwrite").partitionBy("table_year").json(path)
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Results appended by model and year; the commit protocol makes each append whole or absent."""
-    results.write.mode("append").partitionBy("model", "year").json(path)
+def append_results(results: DataFrame, path: str, by: tuple[str, ...] = ("model", "year")) -> None:
+    """Results appended by model and year, or model and input file; each append is whole or absent."""
+    results.write.mode("append").partitionBy(*by).json(path)
 
 
-def reports(valid: DataFrame, invalid: DataFrame, path: str) -> None:
-    """Both reports as JSON lines; one without rows is not written."""
+def finalise(results: DataFrame, path: str, by: tuple[str, ...] = ("model", "year")) -> None:
+    """The results of whole runs, with one row of metadata for each: only the runs that ``results`` holds are replaced."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(f"{path}/results")
+    meta = results.groupBy(*by).agg(F.count("*").alias("total_tables_processed"), F.coalesce(F.sum(F.size("kpis")), F.lit(0)).alias("total_kpis_extracted"))
+    meta = meta.select("*", F.current_timestamp().alias("completed"), F.lit(False).alias("checkpoint"), F.lit(True).alias("complete"))
+    meta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(f"{path}/metadata")
+
+
+def reports(valid: DataFrame, invalid: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Both reports as JSON lines, in a folder for each of ``by``; one without rows has no part files with lines."""
     for name, df in (("valid", valid), ("invalid", invalid)):
-        if not df.isEmpty():
-            df.write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("overwrite").partitionBy(*by).json(f"{path}/{name}")
+
+
+def debug_dump(quarantine: DataFrame, path: str) -> None:
+    """Outputs that could not be read, appended with the time, in a folder for each model."""
+    quarantine.withColumn("dumped", F.current_timestamp()).write.mode("append").partitionBy("model").json(path)
 
 
 def chains(links: DataFrame, path: str) -> None:
