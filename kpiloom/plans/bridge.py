@@ -62,7 +62,7 @@ def packs(spark: SparkSession, sf_dir: str, layout: str | None = None) -> DataFr
     )
 
 
-def raw_kpis(spark: SparkSession, sf_dir: str, layout: str | None = "type_2") -> DataFrame:
+def raw_kpis(spark: SparkSession, sf_dir: str, layout: str | None = None) -> DataFrame:
     """KPIs as extracted from the packs of one layout or all, with faults by (3 * row + column + year) % 10."""
     from kpiloom.operators.melt import facts
 
@@ -97,17 +97,23 @@ nodes AS (SELECT * EXCLUDE (rn) FROM (SELECT replace(replace(kpi_name || '_' ||
 ny AS (SELECT kpi_name, key, year, lead(year) OVER (PARTITION BY kpi_name, key ORDER BY year) AS next_year FROM (SELECT DISTINCT kpi_name, key, year FROM nodes)),
 edges AS (SELECT DISTINCT s.id AS source, t.id AS target, t.year - s.year AS year_diff, 'temporal' AS edge_type FROM nodes s JOIN ny ON s.kpi_name = ny.kpi_name AND s.key = ny.key AND s.year = ny.year
   JOIN nodes t ON t.kpi_name = ny.kpi_name AND t.key = ny.key AND t.year = ny.next_year),
-kp AS (SELECT *, (3 * row_idx + col_idx + year) % 10 AS fault FROM facts WHERE layout = 'type_2'),
+kp AS (SELECT *, (3 * row_idx + col_idx + year) % 10 AS fault FROM facts),
 raw AS (SELECT table_id, CASE WHEN fault = 4 THEN key ELSE kpi_name END AS name, key, units, CASE fault WHEN 0 THEN NULL WHEN 1 THEN value * 1.03 WHEN 2 THEN value * 1.4 ELSE value END AS value, year,
   CASE WHEN fault = 8 THEN lower(key) ELSE key END AS row_name, CASE WHEN fault = 3 THEN row_idx + 1 ELSE row_idx END AS row_idx,
   CASE WHEN fault = 7 THEN 'Total' ELSE CAST(year AS VARCHAR) END AS col_name, CASE fault WHEN 5 THEN NULL WHEN 6 THEN 99 WHEN 9 THEN col_idx - 1 ELSE col_idx END AS col_idx FROM kp),
-cells AS (SELECT table_id, row_idx, c AS col_idx, CAST(v AS DOUBLE) AS num FROM long WHERE n_regionkey = 1 AND c <= 2),
-stubs AS (SELECT table_id, row_idx, n_name AS stub, CAST(year AS INT) AS y FROM w WHERE n_regionkey = 1),
-n AS (SELECT table_id, count(*) AS n_rows FROM stubs GROUP BY table_id),
-looked AS (SELECT raw.*, n_rows, stub, CASE raw.col_idx WHEN 0 THEN 'Units' WHEN 1 THEN CAST(tt.y AS VARCHAR) WHEN 2 THEN CAST(tt.y - 1 AS VARCHAR) END AS head, CAST(tt.y AS VARCHAR) AS head1, s.num AS found, b.num AS beside
-  FROM raw JOIN n ON n.table_id = raw.table_id JOIN (SELECT DISTINCT table_id, y FROM stubs) tt ON tt.table_id = raw.table_id LEFT JOIN stubs sb ON sb.table_id = raw.table_id AND sb.row_idx = raw.row_idx
-  LEFT JOIN cells s ON s.table_id = raw.table_id AND s.row_idx = raw.row_idx AND s.col_idx = raw.col_idx LEFT JOIN cells b ON b.table_id = raw.table_id AND b.row_idx = raw.row_idx AND b.col_idx = raw.col_idx + 1),
-st AS (SELECT *, CASE WHEN name = key THEN 'same_name' WHEN col_idx IS NULL THEN 'no_col' WHEN row_idx >= n_rows THEN 'row_bounds' WHEN col_idx >= 3 THEN 'col_bounds' END AS stop,
+stubs AS (SELECT table_id, n_regionkey, row_idx, n_name || CASE WHEN n_regionkey IN (2, 3) THEN ' (units)' ELSE '' END AS stub FROM w),
+grid AS (SELECT table_id, row_idx, CASE n_regionkey WHEN 2 THEN c + 1 ELSE c END AS col_idx,
+  CASE WHEN v IS NULL THEN '–' WHEN c > 2 THEN format('{:,}', v) WHEN year % 3 = 0 THEN v || ' ^1' ELSE CAST(v AS VARCHAR) END AS text, CASE WHEN c > 2 AND v BETWEEN 1000 AND 999999 THEN v / 1000 ELSE CAST(v AS DOUBLE) END AS num
+  FROM long WHERE n_regionkey IN (0, 4) OR c <= 2
+  UNION ALL SELECT table_id, row_idx, 0, stub, NULL FROM stubs UNION ALL SELECT table_id, row_idx, 1, 'thousands', NULL FROM stubs WHERE n_regionkey = 2
+  UNION ALL SELECT table_id, row_idx, n_regionkey + CASE n_regionkey WHEN 2 THEN 2 ELSE 0 END, '1.5', 1.5 FROM stubs WHERE n_regionkey IN (2, 3)),
+n AS (SELECT table_id, count(*) AS n_rows, CASE min(n_regionkey) WHEN 1 THEN ['Units', y, p] WHEN 2 THEN ['', '', y, p, '%'] WHEN 3 THEN ['', y, p, '%']
+  ELSE [CASE min(n_regionkey) WHEN 4 THEN 'Thousand vehicles/€ million' ELSE '' END, 'ORDER COUNT ' || y, 'ORDER COUNT ' || p, 'SALES REVENUE ' || y, 'SALES REVENUE ' || p] END AS heads
+  FROM (SELECT table_id, n_regionkey, CAST(year AS VARCHAR) AS y, CAST(year - 1 AS VARCHAR) AS p FROM w) GROUP BY table_id, y, p),
+looked AS (SELECT raw.*, n_rows, len(heads) AS n_cols, stub, heads[raw.col_idx + 1] AS head, heads[2] AS head1, s.num AS found, b.num AS beside
+  FROM raw JOIN n ON n.table_id = raw.table_id LEFT JOIN stubs sb ON sb.table_id = raw.table_id AND sb.row_idx = raw.row_idx
+  LEFT JOIN grid s ON s.table_id = raw.table_id AND s.row_idx = raw.row_idx AND s.col_idx = raw.col_idx LEFT JOIN grid b ON b.table_id = raw.table_id AND b.row_idx = raw.row_idx AND b.col_idx = raw.col_idx + 1),
+st AS (SELECT *, CASE WHEN name = key THEN 'same_name' WHEN col_idx IS NULL THEN 'no_col' WHEN row_idx >= n_rows THEN 'row_bounds' WHEN col_idx >= n_cols THEN 'col_bounds' END AS stop,
   CASE WHEN stub IS NULL THEN 'absent' WHEN row_name = stub THEN 'equal' WHEN lower(row_name) = lower(stub) THEN 'case' ELSE 'differs' END AS row_check,
   CASE WHEN head IS NULL THEN 'absent' WHEN col_name = head THEN 'equal' ELSE 'differs' END AS col_check, found IS NULL AND col_idx = 0 AND beside IS NOT NULL AND col_name = head1 AS shift FROM looked),
 g AS (SELECT *, CASE WHEN shift THEN beside ELSE found END AS source, CASE row_check WHEN 'case' THEN 0.98::DOUBLE WHEN 'differs' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * CASE col_check WHEN 'differs' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN shift THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS conf FROM st),

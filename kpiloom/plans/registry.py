@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +37,7 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return chains.link(n)
 
 
-def _checked(spark: SparkSession, d: str, layout: str | None = "type_2") -> DataFrame:
+def _checked(spark: SparkSession, d: str, layout: str | None = None) -> DataFrame:
     return validate.validate(raw_kpis(spark, d, layout), packs(spark, d, layout))
 
 
@@ -184,52 +182,51 @@ _CHECKED = ["table_id", "key", "year", "outcome", "is_valid", "confidence", "row
 
 
 @_add("validate_kpis", "SELECT table_id, key, year, outcome, is_valid, round(confidence, 9) AS confidence, row_check, col_check FROM checked")
-def validate_kpis(spark, d, layout="type_2"):
+def validate_kpis(spark, d, layout=None):
     return _checked(spark, d, layout).select(*_CHECKED).withColumn("confidence", F.round("confidence", 9))
 
 
 @_add("validation_stats", "SELECT year, count(*) AS total_kpis, count(*) FILTER (is_valid) AS valid_kpis, count(*) FILTER (NOT is_valid) AS invalid_kpis, count(DISTINCT table_id) AS tables_processed, round(100.0 * count(*) FILTER (is_valid) / count(*), 9) AS accuracy FROM checked GROUP BY year")
-def validation_stats(spark, d, layout="type_2"):
+def validation_stats(spark, d, layout=None):
     return validate.statistics(_checked(spark, d, layout), ["year"]).select("year", "total_kpis", "valid_kpis", "invalid_kpis", "tables_processed", F.round("accuracy", 9).alias("accuracy"))
 
 
 @_add("validation_overall", "SELECT count(*) AS total_kpis, count(*) FILTER (is_valid) AS valid_kpis, count(*) FILTER (outcome = 'same_name') AS name_mismatches, round(100.0 * count(*) FILTER (is_valid) / count(*), 9) AS accuracy FROM checked")
-def validation_overall(spark, d, layout="type_2"):
+def validation_overall(spark, d, layout=None):
     return validate.statistics(_checked(spark, d, layout)).select("total_kpis", "valid_kpis", "name_mismatches", F.round("accuracy", 9).alias("accuracy"))
 
 
 @_add("valid_report", "SELECT name, key, units, round(value, 6) AS value, year, table_id, row_idx, col_idx FROM checked WHERE is_valid")
-def valid_report(spark, d, layout="type_2"):
+def valid_report(spark, d, layout=None):
     return validate.valid_report(_checked(spark, d, layout)).select("name", "key", "units", F.round(F.col("value").cast("double"), 6).alias("value"), "year", "evidence.table_id", "evidence.row_idx", "evidence.col_idx")
 
 
 @_add("invalid_report", "SELECT table_id, name, key, outcome IN ('moderate', 'large', 'same_name') OR (stop IS NULL AND (row_check = 'differs' OR col_check = 'differs')) AS has_fix FROM checked WHERE NOT is_valid")
-def invalid_report(spark, d, layout="type_2"):
+def invalid_report(spark, d, layout=None):
     return validate.invalid_report(_checked(spark, d, layout)).select("table_id", "kpi.name", "kpi.key", (F.size("validation.fix_instructions") > 0).alias("has_fix"))
 
 
 @_add("error_type_histogram")
-def error_type_histogram(spark, d, layout="type_2"):
+def error_type_histogram(spark, d, layout=None):
     return validate.error_histogram(_checked(spark, d, layout))
 
 
 @_add("neighbour_hints", """
-, grid AS (SELECT table_id, row_idx, c AS col_idx, CASE WHEN v IS NULL THEN '–' WHEN year % 3 = 0 THEN v || ' ^1' ELSE CAST(v AS VARCHAR) END AS text FROM long WHERE n_regionkey = 1 AND c <= 2 UNION ALL SELECT table_id, row_idx, 0, n_name FROM w WHERE n_regionkey = 1)
 SELECT a.table_id, a.row_idx, a.col_idx, count(*) AS n_near, count(*) FILTER (b.text <> a.text) AS n_other FROM grid a JOIN grid b ON a.table_id = b.table_id AND abs(a.row_idx - b.row_idx) + abs(a.col_idx - b.col_idx) = 1 GROUP BY ALL""")
-def neighbour_hints(spark, d, layout="type_2"):
+def neighbour_hints(spark, d, layout=None):
     c = melt.cells(packs(spark, d, layout))
     near = validate.near_cells(F.col("rows"), F.col("row_idx"), F.col("col_idx"))
     return c.select("table_id", "row_idx", "col_idx", F.size(near).cast("long").alias("n_near"), F.size(F.filter(near, lambda x: x["text"] != F.col("text"))).cast("long").alias("n_other"))
 
 
-@_add("label_search", "SELECT table_id, row_idx AS said, row_idx AS found, year FROM w WHERE n_regionkey = 1")
-def label_search(spark, d, layout="type_2"):
+@_add("label_search", "SELECT table_id, row_idx AS said, row_idx AS found, year FROM w")
+def label_search(spark, d, layout=None):
     p = packs(spark, d, layout).select("table_id", "stub_col", "year", F.posexplode("stub_col").alias("said", "label"))
     return p.select("table_id", "said", validate.find_label(F.col("stub_col"), F.lower("label")).alias("found"), "year")
 
 
-@_add("plausibility", "SELECT table_id, key, year, CASE WHEN col_idx < 1 THEN 1 ELSE 0 END AS doubts FROM raw")
-def plausibility(spark, d, layout="type_2"):
+@_add("plausibility", "SELECT table_id, key, year, CASE WHEN col_idx < 1 THEN 1 ELSE 0 END + CASE WHEN contains(lower(units), 'thousand') AND abs(value) >= 1e6 THEN 1 ELSE 0 END AS doubts FROM raw")
+def plausibility(spark, d, layout=None):
     return validate.plausibility(raw_kpis(spark, d, layout)).select("table_id", "key", "year", F.size("doubts").alias("doubts"))
 
 
@@ -319,18 +316,20 @@ def last_writer_wins(spark, d):
     return validate.last_packs(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("table_id"), F.col("o_orderkey").alias("line")), ["line"])
 
 
-@_add("rule_extraction", "SELECT table_id, CASE WHEN layout = 'type_2' THEN 'Production' END AS name, key, value, year, row_idx, col_idx FROM facts WHERE layout = 'type_2'")
-def rule_extraction(spark, d, layout="type_2"):
+@_add("rule_extraction", """SELECT table_id, CASE layout WHEN 'type_2' THEN 'Production' WHEN 'type_3' THEN 'Key Figures' WHEN 'type_4' THEN r_name || ' TRADE – KEY FIGURES' ELSE kpi_name END AS name,
+  CASE WHEN layout IN ('type_3', 'type_4') THEN kpi_name || ' (units)' ELSE key END AS key, CASE WHEN layout IN ('type_1', 'unknown_format') AND col_idx > 2 AND value BETWEEN 1000 AND 999999 THEN value / 1000 ELSE value END AS value, year, row_idx, col_idx
+  FROM facts JOIN region ON r_regionkey = CAST(right(table_id, 1) AS INT)""")
+def rule_extraction(spark, d, layout=None):
     return extract.rule_kpis(packs(spark, d, layout)).select("table_id", "name", "key", F.col("value").cast("double").alias("value"), "year", "row_idx", "col_idx")
 
 
 @_add("extract_and_correct")
-def extract_and_correct(spark, d, layout="type_2"):
+def extract_and_correct(spark, d, layout=None):
     return extract.correct(raw_kpis(spark, d, layout), packs(spark, d, layout)).select("table_id", "name", "key", "value", "year", "row_idx", "col_idx", "is_valid", "iteration")
 
 
 @_add("model_extraction")
-def model_extraction(spark, d, layout="type_2"):
+def model_extraction(spark, d, layout=None):
     def make():
         import json
 
@@ -359,13 +358,3 @@ def top_k_per_group(spark, d):
 
     w = Window.partitionBy("n_regionkey").orderBy(F.desc("oc"), "n_name", "year")
     return yearly(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 5").select("n_regionkey", "n_name", "year", "oc")
-
-
-#: The SQL of these is of the packs of one layout; as NAME_all they run over the packs of all.
-ONE_LAYOUT = (
-    "validate_kpis", "validation_stats", "validation_overall", "valid_report", "invalid_report", "error_type_histogram",
-    "plausibility", "neighbour_hints", "label_search", "extract_and_correct", "model_extraction", "rule_extraction",
-)
-
-for _name in ONE_LAYOUT:
-    _add(f"{_name}_all")(partial(QUERIES[_name], layout=None))
