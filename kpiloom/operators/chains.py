@@ -56,6 +56,11 @@ def coverage(kpis: DataFrame) -> DataFrame:
     return out.select("name", "key", "n_years", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")).alias("year_range"))
 
 
+def top_coverage(kpis: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` chains of most distinct years."""
+    return coverage(kpis).orderBy(F.desc("n_years"), "name", "key").limit(k)
+
+
 def grouping(kpis: DataFrame) -> DataFrame:
     """Groups at three grains, by name, name and key, and name, key and units, in one pass.
 

@@ -206,9 +206,21 @@ def invalid_report(spark, d, layout=None):
     return validate.invalid_report(_checked(spark, d, layout)).select("table_id", "kpi.name", "kpi.key", (F.size("validation.fix_instructions") > 0).alias("has_fix"))
 
 
-@_add("error_type_histogram")
+def _said(c: str) -> str:
+    """SQL of a number as the validator's texts spell it."""
+    t = f"CAST(CAST({c} AS DOUBLE) AS VARCHAR)"
+    tail = f"coalesce(nullif(rtrim(substr(replace({t}, '.', ''), 2), '0'), ''), '0')"
+    return f"CASE WHEN abs({c}) >= 1e7 THEN left({t}, 1) || '.' || {tail} || 'E' || (strpos({t}, '.') - 2) ELSE {t} END"
+
+
+@_add("error_type_histogram", f"""
+SELECT error_type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM (SELECT confidence, unnest(list_filter(CASE WHEN stop IS NOT NULL THEN [CASE stop WHEN 'same_name' THEN '❌ key and name are identical' WHEN 'no_col' THEN 'Missing col_idx in KPI'
+  WHEN 'row_bounds' THEN 'row_idx ' || row_idx || ' out of bounds (table has ' || n_rows || ' rows)' ELSE 'col_idx ' || col_idx || ' out of bounds (row has ' || n_cols || ' cols)' END]
+  ELSE [CASE row_check WHEN 'equal' THEN '✓ row_name verified' WHEN 'case' THEN '⚠ row_name case mismatch' WHEN 'differs' THEN '❌ row_name MISMATCH' END, CASE col_check WHEN 'equal' THEN '✓ col_name verified' WHEN 'differs' THEN '⚠ col_name MISMATCH' END,
+    CASE WHEN shift THEN '⚠ Auto-corrected' END, CASE outcome WHEN 'both_null' THEN 'Both null (cell' WHEN 'value_null' THEN 'Extracted null but source=' || {_said("source")} || ' (cell' WHEN 'source_null' THEN 'Source null but extracted=' || {_said("value")} || ' (cell'
+    WHEN 'small' THEN 'Small diff' WHEN 'moderate' THEN 'Moderate diff' WHEN 'beside' THEN '⚠ Auto-corrected' WHEN 'large' THEN 'Large diff' END, CASE WHEN outcome = 'beside' AND gap2 > 1e-6 THEN 'Small diff after correction' END] END, lambda x: x IS NOT NULL)) AS error_type FROM checked) GROUP BY error_type""")
 def error_type_histogram(spark, d, layout=None):
-    return validate.error_histogram(_checked(spark, d, layout))
+    return validate.error_histogram(_checked(spark, d, layout)).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
 @_add("neighbour_hints", """

@@ -26,12 +26,15 @@ def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     return reader.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("text"))
 
 
-def jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, strict: bool = True, glob: str = "*.jsonl") -> DataFrame:
     """Packs of JSON lines with ``file`` and ``line``; blank lines and comments (``//``, ``#``) are left out.
 
-    Strict: a malformed line fails the query. Otherwise it gives a row whose ``corrupt`` holds the line.
+    Strict: a malformed line fails the query. Otherwise it gives a row whose ``corrupt`` holds the line. A folder
+    without a file of that name is an error either way.
     """
-    df = lines(spark, path)
+    df = lines(spark, path, glob)
+    if not df.inputFiles():
+        raise FileNotFoundError(f"no {glob} in {path}")
     t = S.strip(F.col("text"))
     df = df.where((t != "") & ~t.startswith("//") & ~t.startswith("#"))
     if strict:

@@ -54,3 +54,22 @@ def debug_dump(quarantine: DataFrame, path: str) -> None:
 
 def chains(links: DataFrame, path: str) -> None:
     links.write.mode("overwrite").parquet(path)
+
+
+def named(docs: DataFrame, path: str, by: str, pattern: str) -> None:
+    """JSON lines with one file for each value of ``by``, which takes the place of ``{}`` in ``pattern`` as file name.
+
+    Each value is one task and one file: it is meant for values that a single file is wanted of, such as a year.
+    """
+    spark = docs.sparkSession
+    docs.repartition(by).write.mode("overwrite").partitionBy(by).json(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if not name.startswith(f"{by}="):
+            continue
+        for part in fs.listStatus(status.getPath()):
+            if part.getPath().getName().startswith("part-"):
+                fs.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(root, pattern.format(name.removeprefix(f"{by}="))))
+        fs.delete(status.getPath(), True)

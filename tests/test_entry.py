@@ -7,6 +7,10 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
+FILES = [
+    "jsonl_scan", "jsonl_tolerant_scan", "export_by_year", "sqlite_scan", "sqlite_scan_of_year", "extraction_scan", "validate_files", "report_files", "valid_kpi_scan", "latest_file", "checkpoint_scan",
+    "resumed_results", "process_packs", "finalised_runs", "debug_dumps", "graph_export", "viewer_export", "links_scan", "chain_export",
+]
 
 
 def test_oracles_have_queries():
@@ -32,17 +36,17 @@ def test_flagship_gives_edges(spark):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
-@pytest.mark.parametrize("name", ["kpi_nodes_unknown", "parse_number", "kpi_distribution", "grouping_summary", "validation_stats", "validate_kpis", "rule_extraction", "neighbour_hints", "plausibility"])
+@pytest.mark.parametrize("name", ["kpi_nodes_unknown", "parse_number", "kpi_distribution", "grouping_summary", "validation_stats", "validate_kpis", "rule_extraction", "neighbour_hints", "plausibility", "error_type_histogram", "around_search", "header_search", "top_coverage", *FILES])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
-    from kpiloom.plans import registry
+    from kpiloom.plans import files
 
     con = duckdb.connect()
     for t in "region nation customer orders lineitem".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    df = registry.QUERIES[name](spark, DATA)
+    df = files.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
-    cur = con.execute(registry.ORACLES[name])
+    cur = con.execute(files.ORACLES[name])
     names = [c[0] for c in cur.description]
     plain = lambda x: round(x, 6) if isinstance(x, float) else x
     want = sorted(str([plain(r[names.index(c)]) for c in cols]) for r in cur.fetchall())

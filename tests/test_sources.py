@@ -135,3 +135,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "d")).first().raw == "raw"
     sinks.chains(n, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).count() == 1
+
+
+def test_a_folder_without_json_lines_is_an_error(spark, tmp_path):
+    (tmp_path / "other.txt").write_text("{}")
+    with pytest.raises(FileNotFoundError):
+        packs.jsonl(spark, str(tmp_path))
