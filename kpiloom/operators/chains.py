@@ -76,6 +76,25 @@ def grouping(kpis: DataFrame) -> DataFrame:
     return out.select(strategy.alias("strategy"), *[c for c in out.columns if c != "g"])
 
 
+def group_lists(kpis: DataFrame, by: list[str], k: int = 3) -> DataFrame:
+    """(by, size, years, n_keys, first_keys, first_units): distinct years, and the first ``k`` keys and units of each group.
+
+    No list but the years' is longer than ``k``, however large a group is.
+    """
+
+    def first(c: str) -> DataFrame:
+        places = Window.partitionBy(*by).orderBy(c)
+        few = kpis.where(F.col(c).isNotNull()).select(*by, c).distinct().withColumn("__n", F.row_number().over(places)).where(F.col("__n") <= k)
+        return few.groupBy(*by).agg(F.array_sort(F.collect_list(c)).alias(f"first_{c}"))
+
+    out = kpis.groupBy(*by).agg(F.count("*").alias("size"), F.array_sort(F.collect_set("year")).alias("years"), F.countDistinct("key").alias("n_keys"))
+    for c in ("key", "units"):
+        few = first(c).withColumnsRenamed({x: f"__{x}" for x in by})
+        same = [F.col(x).eqNullSafe(F.col(f"__{x}")) for x in by]
+        out = out.join(few, same, "left").drop(*[f"__{x}" for x in by])
+    return out.withColumnRenamed("first_key", "first_keys")
+
+
 def progression(kpis: DataFrame, order: str = "ord") -> DataFrame:
     """(name, key, years, values): distinct years, and values in order of years, first those without year."""
     steps = F.array_sort(F.collect_list(F.struct(F.coalesce("year", F.lit(0)).alias("y"), F.col(order).alias("o"), F.col("value").alias("v"))))

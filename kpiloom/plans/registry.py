@@ -9,6 +9,7 @@ from kpiloom.functions import scalars as S
 from kpiloom.operators import chains, extract, graph, melt, validate
 from kpiloom.plans.bridge import LAYOUTS, SQL, packs, raw_kpis, table
 from kpiloom.sources import packs as pack_source
+from kpiloom.sources import shared
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,9 +174,10 @@ def top_entities(spark, d):
     return graph.top_entities(_nodes(spark, d))
 
 
-@_add("sample_questions", "SELECT 'Which entity has the highest ' || (SELECT kpi_name FROM (SELECT DISTINCT kpi_name FROM nodes ORDER BY 1 LIMIT 2) ORDER BY 1 DESC LIMIT 1) || '?' AS question")
+@_add("sample_questions", """SELECT unnest(['Show the trend of ' || k[1] || ' for ' || e[1], 'Compare ' || k[1] || ' between ' || e[1] || ' and ' || e[2], 'Which entity has the highest ' || k[2] || '?',
+  'How did ' || k[1] || ' change over the years?', 'List all metrics of ' || e[1]]) AS question FROM (SELECT list(DISTINCT kpi_name ORDER BY kpi_name) AS k, list(DISTINCT key ORDER BY key) AS e FROM nodes)""")
 def sample_questions(spark, d):
-    return graph.sample_questions(_nodes(spark, d)).where("question like 'Which%'")
+    return graph.sample_questions(_nodes(spark, d))
 
 
 _CHECKED = ["table_id", "key", "year", "outcome", "is_valid", "confidence", "row_check", "col_check"]
@@ -223,6 +225,11 @@ def error_type_histogram(spark, d, layout=None):
     return validate.error_histogram(_checked(spark, d, layout)).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
+@_add("node_labels", f"SELECT id, left(key, 10) || chr(10) || year || chr(10) || {_said('value')} AS label, array_to_string(list_transform(regexp_extract_all(lower(kpi_name), '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '') AS titled FROM nodes")
+def node_labels(spark, d):
+    return _nodes(spark, d).select("id", S.node_label(F.col("key"), F.col("year"), F.col("value")).alias("label"), S.title_case(F.col("kpi_name")).alias("titled"))
+
+
 @_add("neighbour_hints", """
 SELECT a.table_id, a.row_idx, a.col_idx, count(*) AS n_near, count(*) FILTER (b.text <> a.text) AS n_other FROM grid a JOIN grid b ON a.table_id = b.table_id AND abs(a.row_idx - b.row_idx) + abs(a.col_idx - b.col_idx) = 1 GROUP BY ALL""")
 def neighbour_hints(spark, d, layout=None):
@@ -295,6 +302,20 @@ def top_groups(spark, d):
     return chains.top_groups(chains.grouping(_links(spark, d))).select("strategy", "name", "key", "units", "size")
 
 
+@_add("group_lists", """
+SELECT name, count(*) AS size, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years, count(DISTINCT key) AS n_keys, array_to_string(list_slice(list(DISTINCT key ORDER BY key), 1, 3), ',') AS first_keys,
+  array_to_string(list_slice(list(DISTINCT units ORDER BY units), 1, 3), ',') AS first_units FROM lk GROUP BY name""")
+def group_lists(spark, d):
+    out = chains.group_lists(_links(spark, d), ["name"])
+    return out.select("name", "size", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("years", "first_keys", "first_units")], "n_keys")
+
+
+@_add("chain_nodes", "SELECT kpi_id, next_kpi_id, prev_kpi_id, table_id, row_idx, col_idx FROM linked JOIN nodes ON id = ord")
+def chain_nodes(spark, d):
+    n = _nodes(spark, d).select(F.col("kpi_name").alias("name"), "key", "year", F.concat(F.col("value").cast("long").cast("string"), F.lit(".0")).alias("value"), "units", F.col("id").alias("ord"), "table_id", "row_idx", "col_idx")
+    return chains.link(n).select("kpi_id", "next_kpi_id", "prev_kpi_id", "table_id", "row_idx", "col_idx")
+
+
 @_add("value_progression", "SELECT name, key, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years, string_agg(CAST(CAST(CAST(value AS DOUBLE) AS BIGINT) AS VARCHAR), ',' ORDER BY year, ord) AS \"values\" FROM lk GROUP BY name, key")
 def value_progression(spark, d):
     return chains.progression(_links(spark, d).withColumn("value", F.col("value").cast("double").cast("long").cast("string")))
@@ -335,12 +356,21 @@ def rule_extraction(spark, d, layout=None):
     return extract.rule_kpis(packs(spark, d, layout)).select("table_id", "name", "key", F.col("value").cast("double").alias("value"), "year", "row_idx", "col_idx")
 
 
+def _corrected(spark: SparkSession, d: str) -> DataFrame:
+    return extract.correct(raw_kpis(spark, d), packs(spark, d), path=shared.new(spark, "rounds"))
+
+
 @_add("extract_and_correct")
-def extract_and_correct(spark, d, layout=None):
-    return extract.correct(raw_kpis(spark, d, layout), packs(spark, d, layout)).select("table_id", "name", "key", "value", "year", "row_idx", "col_idx", "is_valid", "iteration")
+def extract_and_correct(spark, d):
+    return _corrected(spark, d).select("table_id", "name", "key", "value", "year", "row_idx", "col_idx", "is_valid", "iteration")
+
+
+@_add("correction_rounds")
+def correction_rounds(spark, d):
+    return validate.iteration_statistics(_corrected(spark, d))
 
 
-@_add("model_extraction")
+@_add("model_extraction", "SELECT table_id, stub AS key, CAST(substr(table_id, 3, 4) AS INT) AS year, true AS is_valid, CAST(1 AS DOUBLE) AS confidence FROM stubs")
 def model_extraction(spark, d, layout=None):
     def make():
         import json

@@ -36,7 +36,7 @@ def test_flagship_gives_edges(spark):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
-@pytest.mark.parametrize("name", ["kpi_nodes_unknown", "parse_number", "kpi_distribution", "grouping_summary", "validation_stats", "validate_kpis", "rule_extraction", "neighbour_hints", "plausibility", "error_type_histogram", "around_search", "header_search", "top_coverage", *FILES])
+@pytest.mark.parametrize("name", ["kpi_nodes_unknown", "parse_number", "kpi_distribution", "grouping_summary", "validation_stats", "validate_kpis", "rule_extraction", "neighbour_hints", "plausibility", "error_type_histogram", "around_search", "header_search", "top_coverage", "sample_questions", "node_labels", "model_extraction", "group_lists", "chain_nodes", *FILES])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from kpiloom.plans import files
@@ -64,3 +64,16 @@ def test_validation_and_extraction_run_over_all_layouts(spark):
         assert {r.table_id for r in registry.QUERIES[name](spark, DATA).select("table_id").collect()} == every
     total = registry.QUERIES["validation_overall"](spark, DATA).first().total_kpis
     assert total == registry.QUERIES["run_totals"](spark, DATA).first().kpis
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_correction_rounds_hold_every_kpi(spark):
+    from kpiloom.plans import registry
+
+    rounds = registry.QUERIES["correction_rounds"](spark, DATA).collect()
+    first = {r.table_id: r for r in registry.QUERIES["validate_kpis"](spark, DATA).groupBy("table_id").agg({"*": "count"}).collect()}
+    assert {r.table_id: r.total_kpis for r in rounds} == {t: r["count(1)"] for t, r in first.items()}
+    best: dict = {}
+    for r in sorted(rounds, key=lambda r: r.iteration):
+        assert r.valid_kpis >= best.get(r.table_id, 0) and r.valid_kpis + r.invalid_kpis == r.total_kpis
+        best[r.table_id] = r.valid_kpis
