@@ -11,8 +11,9 @@ pair of the corpus counts and reruns agree. One batched matrix product then give
 A word of a class gets the class's probability times (c + 1) / (class tokens + class words + 1), so the probabilities
 of all known words and of one unknown word of each class add up to one after every unit.
 
-Scoring deals texts to blocks of about ``block`` tokens; each block asks the table of counts for its distinct words
-once, so what is shuffled is the text, and each block's vocabulary.
+Scoring deals texts to blocks of about ``block`` tokens, and these to as many tasks, ``most_tasks`` at most; a task
+holds one block at a time. Each block asks the table of counts for its distinct words once, so what is shuffled is the
+text, and each block's vocabulary.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def _scored(model, id_name: str):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, frequent: int = 640, classes: int = 383, block: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, frequent: int = 640, classes: int = 383, block: int = 1_000_000, most_tasks: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Learns from rows that aren't held out. Null, empty and blank texts have one token, their end. Without training rows
@@ -185,9 +186,11 @@ def score(docs: DataFrame, held_out: Column, frequent: int = 640, classes: int =
     logs = train(pairs.reshape(units.size, units.size))
     model = docs.sparkSession.sparkContext.broadcast((top, classes, logs.astype(np.float32), in_class, int(n), int(v), int(ends)))
     blocks = max(1, -(-int(n) // block))
-    dealt = docs.select(id_col, held_out.alias("held_out"), text.alias("text")).withColumn("block", F.pmod(F.xxhash64(id_col, "text"), F.lit(blocks)))
+    # tasks grow with the blocks, so none reads more at greater sizes; both readers of the texts share one shuffle
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, most_tasks))
+    dealt = docs.select(id_col, held_out.alias("held_out"), text.alias("text")).withColumn("block", F.pmod(F.xxhash64(id_col, "text"), F.lit(blocks))).repartition(tasks, "block")
     asked = dealt.groupBy("block").applyInArrow(_vocabulary, "block long, word string")
-    told = asked.join(counts, "word", "left").select("block", "word", "c")
+    told = asked.join(counts, "word", "left").select("block", "word", "c").repartition(tasks, "block")
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("held_out", BooleanType()), *(StructField(x, k) for x, k in SCORES)])
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(model, id_col), schema)
 
