@@ -140,12 +140,15 @@ def _scored(model, id_name: str):
     def run(_, docs: pa.Table, known: pa.Table) -> pa.Table:
         frequent, classes, logs, in_class, n, v, ends = model.value
         units = Units(frequent, classes)
-        words = [w.encode("utf-8", "surrogatepass") for w in known.column("word").to_pylist()] + [b"\n"]
-        c = np.array([x or 0 for x in known.column("c").to_pylist()] + [ends], np.int64)
-        unit = np.fromiter(map(units.__getitem__, words), np.int64, len(words))
+        words = [*known.column("word").cast(pa.binary()).to_pylist(), b"\n"]
+        at = {w: i for i, w in enumerate(words)}
+        c = np.append(known.column("c").fill_null(0).to_numpy(), ends)
+        unit = np.append(known.column("unit").to_numpy(), units[b"\n"])
+        for w, u in units.items():
+            if w in at:
+                unit[at[w]] = u
         base = np.log10((c + 1) / (n + v + 1))
         extra = np.where(unit < units.fixed, 0.0, np.log10((c + 1) / in_class[unit]))
-        at = {w: i for i, w in enumerate(words)}
         end = units[b"\n"]
         rows = []
         for text in docs.column("text").to_pylist():
@@ -191,6 +194,7 @@ def score(docs: DataFrame, held_out: Column, frequent: int = 640, classes: int =
     dealt = docs.select(id_col, held_out.alias("held_out"), text.alias("text")).withColumn("block", F.pmod(F.xxhash64(id_col, "text"), F.lit(blocks))).repartition(tasks, "block")
     asked = dealt.groupBy("block").applyInArrow(_vocabulary, "block long, word string")
     told = asked.join(counts, "word", "left").select("block", "word", "c").repartition(tasks, "block")
+    told = told.withColumn("unit", class_of(F.col("word"), units.fixed, classes))  # frequent words get theirs when scored
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("held_out", BooleanType()), *(StructField(x, k) for x, k in SCORES)])
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(model, id_col), schema)
 

@@ -4,6 +4,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -18,6 +19,9 @@ LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 EDGE = [(1, None, "en", "a"), (2, "", "en", None), (3, "   \n\t", None, "a"), (4, EN, "en", "a"), (4, EN, "en", "a"), (5, EN, "en", "b"), (6, DE, "de", "b"), (None, DE, "de", "b"), (7, LONG, None, "c"), (8, "one two", "en", "a"), (9, "12 !! 34", "en", "a")]
 
 
+SF = "/root/testdata/sf0.01"
+
+
 def docs(spark, rows=EDGE):
     return spark.createDataFrame([(i, t, lang, s, len(t or ""), 0.5, 1) for i, t, lang, s in rows], DOCS)
 
@@ -128,6 +132,27 @@ def test_lm_against_brute_force(spark):
     assert np.allclose((10**table).sum(axis=1), 1)
 
 
+def test_word_classes_are_the_same_on_both_sides(spark):
+    said = ["a", "é", "ab", "日本語", "x\u2019s", "🙂🙂", "a\u0301b"]
+    found = spark.createDataFrame([(w,) for w in said], "word string").select("word", lm.class_of(F.col("word"), 1, 383).alias("unit")).collect()
+    units = lm.Units([], 383)
+    assert {r.word: r.unit for r in found} == {w: units[w.encode()] for w in said}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
+def test_held_out_scores_are_above_the_base(spark):
+    n, base, score = lm.query(spark, SF).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert score / n > base / n + 0.2
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
+def test_held_out_languages(spark):
+    said = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    got = langid.query(spark, SF).where(f"held_out and lang_pred <> '{langid.UNKNOWN}'").select("doc_id", "lang_pred").join(said, "doc_id")
+    right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 100 and right >= 0.99 * n
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 20))
