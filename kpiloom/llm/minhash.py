@@ -175,6 +175,17 @@ def _table_keys(classes: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("x", "y").alias("key"), "cid", "label")
 
 
+def _told_apart(keys: DataFrame) -> DataFrame:
+    """(key, rep) of the keys that classes of different labels share; of keys with the same classes the smallest only.
+
+    Two texts that share x and y half-keys share x * y table keys, which say the same. Sets of classes are told apart
+    by their smallest, their number and 128 bits.
+    """
+    bits = [F.bit_xor(F.xxhash64(F.lit(i), "cid")).alias(f"s{i}") for i in range(2)]
+    sets = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), *bits).where("lo <> hi")
+    return sets.groupBy("rep", "c", "s0", "s1").agg(F.min("key").alias("key")).select("key", "rep")
+
+
 def _block_links(pair: pa.Table) -> pa.Table:
     """Links (a, b) between texts of different labels in one pair of blocks, one for each two labels."""
     cid, label = np.array(pair.column("cid").to_pylist()), np.array(pair.column("label").to_pylist())
@@ -283,10 +294,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         return written(split_join(now, mixed, "key"), "apart")
 
-    def stars(tables: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
-        """Links of each class with the smallest of every key that holds more than one component."""
+    def stars(mixed: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links of each class with the smallest of every key of ``mixed``, whose keys hold more than one component."""
         heads = labelled(parts).select(F.col("cid").alias("rep"), F.col("label").alias("rep_label"))
-        rest = apart(tables, parts).select("rep", "cid", "label").distinct()
+        rest = mixed.select("rep", "cid", "label").distinct()
         return links(rest.join(heads, "rep").where("label <> rep_label").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct(), texts)
 
     # the diagonal of the tables first: what it joins needn't meet in the others
@@ -295,12 +306,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tables = written(split_join(keys, shared, "key"), "diagonal")
     texts = texts_of(tables)
     found = links(tables.where("cid <> rep").groupBy("cid").agg(F.min("rep").alias("b")).withColumnRenamed("cid", "a"), texts)
-    found = found.unionByName(stars(tables, components(found), texts))
+    parts = components(found)
+    found = found.unionByName(stars(apart(tables, parts), parts, texts))
     parts = components(found)
 
     keys = written(_table_keys(labelled(parts, classes.select("cid", "halves"))), "keys")
-    shared = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "rep")
-    tables = written(split_join(keys, shared, "key"), "tables")
+    tables = written(split_join(keys, _told_apart(keys), "key"), "tables")
     texts = texts_of(tables)
     found = found.unionByName(stars(tables, parts, texts))
     parts = components(found)

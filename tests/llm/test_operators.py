@@ -326,6 +326,29 @@ def test_repeated_ids_stay_apart_by_text(spark):
     assert got == [(False, 3, 146, 3, True), (False, 5, 146, 3, False), (False, 10, 36, 10, True), (False, 10, 36, 10, True), (False, 10, 146, 3, False), (True, 0, 1, None, True), (True, 0, 146, 3, False)]
 
 
+def test_table_keys_with_the_same_classes_are_joined_once(spark, monkeypatch):
+    made = {}
+    write = minhash.written
+
+    def kept(df, name):
+        made.setdefault(name, []).append(write(df, name))
+        return made[name][-1]
+
+    monkeypatch.setattr(minhash, "written", kept)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(40):  # pairs of a likeness of some 0.6: they share table keys and are no links
+        w = [f"p{i}w{j}" for j in range(120)]
+        rows += [(2 * i, " ".join(w), None, None), (2 * i + 1, " ".join(f"e{j}" if j in set(rng.choice(120, 6, replace=False)) else x for j, x in enumerate(w)), None, None)]
+    got = {r.doc_id: r.component_id for r in minhash.similar_sets(docs(spark, rows)).collect()}
+    sets = {i: shingles(t) for i, t, *_ in rows}
+    assert got == {i: i - 1 if i % 2 and 100 * len(sets[i] & sets[i - 1]) >= 75 * len(sets[i] | sets[i - 1]) else i for i in sets}
+    keys, tables = made["keys"][0], made["tables"][0]
+    held = lambda df: [tuple(sorted(r.c)) for r in df.groupBy("key").agg(F.collect_list("cid").alias("c")).collect() if len(r.c) > 1]
+    assert len(held(keys)) > len(set(held(keys))) == len(set(held(tables))) == len(held(tables))
+    assert len(made["apart"]) == 2  # the second round's keys are told apart as they are formed
+
+
 def test_packing_rules(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"t{i % 40}_{j}" for j in range(int(rng.integers(0, 300)) if i % 40 else 250)), None, "hot" if i % 3 else f"s{i % 9}") for i in range(300)] + [(900, " ".join(["q"] * 1100), None, "x")]
