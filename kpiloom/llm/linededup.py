@@ -6,9 +6,10 @@ characters. Boundaries rest on what stands there alone, so text put in or left o
 of more than ``SPREAD`` units, or with one unit as long as that, has a boundary of its own wherever it stands.
 
 Around boundaries that stand in more than one place the chunks are grown unit by unit as far as they agree: each two
-units near by, and each unit of ``LONE`` characters alone, are compared by 128 bits of the SHA-256 of their bytes
-(without spaces at their end). Of equal ones the first place, by (doc_id, place), keeps its units; those of all others
-are chunks that go if they hold ``LEAST`` characters together. So a passage goes from its first unit to its last. What
+units near by, and each unit of ``LONE`` characters alone, are grouped by a hash of their bytes (without spaces at their end).
+The first place of a group, by (doc_id, place), keeps its units, and its bytes travel to all others: those with the same
+bytes, byte for byte, are chunks that go if they hold ``LEAST`` characters together. A piece that shares a hash with
+other bytes stays. So a passage goes from its first unit to its last. What
 goes at a place stands at an earlier one, so one copy of each unit stays.
 """
 
@@ -69,12 +70,18 @@ def around(places: Column, n: Column) -> Column:
 
 
 def digest(t: Column) -> Column:
-    """128 bits of the SHA-256 of a text's bytes."""
-    return F.unhex(F.left(F.sha2(t.cast("binary"), 256), F.lit(32)))
+    """Hash of a text's bytes; it says which pieces to compare, their bytes say which are equal."""
+    return F.xxhash64(t)
+
+
+def said(us: Column, piece: Column) -> Column:
+    """The text of a piece of the units ``us``, as it is compared."""
+    i = F.floor(piece / _RUN).cast("int")
+    return _bare(F.when(piece % _RUN == 1, F.get(us, i)).otherwise(F.concat(F.get(us, i), F.get(us, i + 1))))
 
 
 def pieces(text: Column, places: Column, lone: int = LONE) -> Column:
-    """The pieces of chunks around the boundaries ``places`` of a text: array of (piece, digest)."""
+    """The pieces of chunks around the boundaries ``places`` of a text: array of (piece, hash)."""
 
     def found(us: Column, at: Column) -> Column:
         piece = lambda i, n, t: F.struct((i.cast("long") * _RUN + n).alias("i"), digest(_bare(t)).alias("s"))
@@ -115,10 +122,16 @@ def dedup(docs: DataFrame, least: int = LEAST, lone: int = LONE) -> DataFrame:
     removed(rows)
     parts = keyed.select("__k1", "__k2", "text").join(listed, "__k2").select("__k1", "__k2", F.explode(pieces(F.col("text"), F.col("__maybe"), lone)).alias("c"))
     parts = written(parts.select("__k1", "__k2", F.col("c.i").alias("__i"), F.col("c.s").alias("__s")), "pieces")
+    removed(listed)
     place = F.struct("__k1", "__k2", "__i")
-    firsts = parts.groupBy("__s").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1").select("__s", "__first")
-    gone = split_join(parts, firsts, "__s").where(place != F.col("__first")).groupBy("__k2").agg(F.collect_set("__i").alias("__gone"))
-    done = keyed.join(gone, "__k2", "left").withColumn("__lost", F.when(F.col("__gone").isNotNull(), let(units(F.col("text")), lambda us: lost(us, F.col("__gone"), least))))
+    firsts = parts.groupBy("__s").agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    asked = firsts.groupBy(F.col("__first.__k2").alias("__k2")).agg(F.collect_list(F.struct("__s", "__first")).alias("__asked"))
+    given = lambda us: F.transform("__asked", lambda p: F.struct(p["__s"].alias("s"), p["__first"].alias("first"), said(us, p["__first"]["__i"]).alias("t")))
+    firsts = keyed.select("__k2", "text").join(asked, "__k2").select(F.explode(let(units(F.col("text")), given)).alias("c"))
+    firsts = written(firsts.select(F.col("c.s").alias("__s"), F.col("c.first").alias("__first"), F.col("c.t").alias("__t")).dropDuplicates(["__s"]), "firsts")
+    gone = split_join(parts, firsts, "__s").where(place != F.col("__first")).groupBy("__k2").agg(F.collect_set(F.struct(F.col("__i").alias("i"), F.col("__t").alias("t"))).alias("__gone"))
+    equal = lambda us: F.transform(F.filter("__gone", lambda p: said(us, p["i"]) == p["t"]), lambda p: p["i"])
+    done = keyed.join(gone, "__k2", "left").withColumn("__lost", F.when(F.col("__gone").isNotNull(), let(units(F.col("text")), lambda us: lost(us, equal(us), least))))
     kept = lambda us: F.array_except(F.sequence(F.lit(0), F.size(us) - 1), "__lost")
     left = let(units(F.col("text")), lambda us: F.array_join(F.transform(kept(us), lambda i: F.get(us, i)), ""))
     done = done.withColumn("__left", F.when(F.size("__lost") > 0, left))

@@ -279,6 +279,21 @@ def test_removed_units_against_brute_force(spark):
     assert all(got[i].n_removed == sum((i, k) in lost for k in range(len(us))) for i, us in cut.items())
 
 
+def test_bytes_decide_where_hashes_agree(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "digest", lambda t: F.xxhash64(F.left(t, F.lit(5))))
+    same = "".join(f"Line {c} that stands in two of the texts, with some more words.\n" for c in "abcdefghij")
+    rows = [(i, f"Own start of text {i}.\n{same}", None, None) for i in range(2)]
+    rows += [(i, same.replace("some more", f"{i} other"), None, None) for i in range(2, 6)] + [(6, None, None, None), (1, rows[1][1], None, None), (1, rows[1][1], None, None)]
+    got = sorted(linededup.dedup(docs(spark, rows)).select("doc_id", "text").collect(), key=lambda r: r.doc_id)
+    seen = set()
+    for r, (_, t, *_) in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
+        left = (r.text or "").splitlines()
+        assert all(line in seen or line in left for line in (t or "").splitlines())
+        seen.update(left)
+    plain = {r.doc_id: r for r in got}
+    assert all(plain[i].text == rows[i][1] for i in (0, 2, 3, 4, 5)) and plain[1].text != rows[1][1]
+
+
 def test_a_text_of_many_lines(spark):
     rows = [(1, "".join(f"line {i} of a very long text\n" for i in range(100_000)), None, None), (2, "line 7 of a very long text\n" * 100_000, None, None)]
     got = {r.doc_id: r for r in linededup.dedup(docs(spark, rows)).select("doc_id", "n_removed", F.length("text").alias("n")).collect()}
