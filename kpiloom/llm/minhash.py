@@ -9,8 +9,9 @@ Equal sets are one class from the start. Links are found in rounds, every link b
 texts: each class with the smallest class it shares a table key with, then each with the smallest of every key whose
 classes are still apart. The tables (i, i) go first, so that a large group of near copies is one component before
 the other tables are formed: for those, half-keys all of whose classes are of one component are dropped, as no table
-key built from them can join two. What still shares keys across components in the end is compared in full, in blocks of
-bounded size by size classes. Rows are emitted for links only, never for the pairs of a group.
+key built from them can join two. Of each key the smallest class has then met all others; those that still share keys
+across components are compared in full, in blocks of bounded size by size classes. Rows are emitted for links only,
+never for the pairs of a group.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from kpiloom.llm.common import split_join, table, written
+from kpiloom.llm.common import removed, split_join, table, written
 
 SHINGLE, SIMILAR = 5, 75
 HALVES, ROWS = 20, 3
@@ -289,10 +290,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return of.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
     def apart(tables: DataFrame, parts: DataFrame) -> DataFrame:
-        """(key, rep, cid, n, label) of keys that still hold classes of more than one component."""
-        now = tables.select("key", "rep", "cid").join(labelled(parts), "cid")
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return written(split_join(now, mixed, "key"), "apart")
+        """(key, rep, cid, n, label) of keys that still hold classes of more than one component; rep is the smallest of a key."""
+        now = written(tables.select("key", "cid").join(labelled(parts), "cid"), "labelled")
+        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cid").alias("rep")).where("lo <> hi").select("key", "rep")
+        out = written(split_join(now, mixed, "key"), "apart")
+        removed(now)
+        return out
 
     def stars(mixed: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
         """Links of each class with the smallest of every key of ``mixed``, whose keys hold more than one component."""
@@ -315,7 +318,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = texts_of(tables)
     found = found.unionByName(stars(tables, parts, texts))
     parts = components(found)
-    rest = apart(tables, parts)
+    # the smallest class of a key has met all others of it: only those have yet to meet each other
+    rest = apart(tables.where("cid <> rep"), parts)
     groups = components(rest.where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b")))
     members = written(rest.select("cid", "n", "label").distinct().join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid"), "members")
     parts = components(found.unionByName(_linked_in_blocks(members, texts, pair)))

@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kpiloom.llm import ann, fingerprints, langid, licenses, linededup, lm, minhash, mixing, packing, secrets
+from kpiloom.llm.common import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int"
 EN, DE = "the quick fox and the lazy dog are in the house with the other ones", "der schnelle fuchs und der faule hund sind im haus mit den anderen"
@@ -364,6 +366,43 @@ def test_table_keys_with_the_same_classes_are_joined_once(spark, monkeypatch):
     assert len(made["apart"]) == 2  # the second round's keys are told apart as they are formed
 
 
+def test_keys_of_two_classes_need_no_blocks(spark, monkeypatch):
+    made = {}
+    write = minhash.written
+
+    def kept(df, name):
+        made.setdefault(name, []).append(write(df, name))
+        return made[name][-1]
+
+    monkeypatch.setattr(minhash, "written", kept)
+    rows = []
+    for i in range(40):  # pairs of a likeness of 0.6: the smaller one of a key has met the other
+        w = [f"p{i}w{j}" for j in range(120)]
+        rows += [(2 * i, " ".join(w), None, None), (2 * i + 1, " ".join(f"e{j}" if j % 20 == 10 else x for j, x in enumerate(w)), None, None)]
+    assert all(r.kept for r in minhash.similar_sets(docs(spark, rows)).collect())
+    assert made["tables"][0].count() > 0 and made["members"][0].count() == 0
+
+
+def test_the_others_of_a_key_meet_without_its_smallest(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_diagonal_keys", lambda classes: classes.select(F.lit(1).cast("long").alias("key"), "cid"))
+    monkeypatch.setattr(minhash, "_table_keys", lambda classes: classes.select(F.lit(2).cast("long").alias("key"), "cid", "label"))
+    texts = [EN, *family(20, 4, 3), *[t.replace("b", "c") for t in family(20, 4, 4)], *[f"Own {i} " + " ".join(f"u{i}v{j}" for j in range(30)) for i in range(5)]]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in minhash.similar_sets(docs(spark, rows)).collect()}
+    assert got == {i: 0 if i == 0 else 1 if i < 21 else 21 if i < 41 else i for i in got} and len(got) == 46
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before = held()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids"))
+    out = written(df.join(df.withColumnRenamed("ids", "more"), "k"), "shuffled")
+    end = time.monotonic() + 20
+    while held() > before and time.monotonic() < end:  # they are removed in the background
+        time.sleep(0.1)
+    assert held() <= before and out.count() == 7
+
+
 def test_packing_rules(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"t{i % 40}_{j}" for j in range(int(rng.integers(0, 300)) if i % 40 else 250)), None, "hot" if i % 3 else f"s{i % 9}") for i in range(300)] + [(900, " ".join(["q"] * 1100), None, "x")]
